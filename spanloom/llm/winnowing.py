@@ -41,9 +41,13 @@ BLOCK = 100_000
 
 
 def _packed(w: Column) -> Column:
-    """Hash of the 5-gram at each place; the three low bits hold the place modulo 8."""
-    gram = lambda i: F.xxhash64(*[F.get(w, i + d) for d in range(GRAM)])
-    return F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: gram(i).bitwiseAND(F.lit(-8)).bitwiseOR(i.bitwiseAND(F.lit(7)).cast("long")))
+    """Hash of the 5-gram at each place, from its words' hashes; the three low bits hold the place modulo 8."""
+
+    def of(h: Column) -> Column:
+        gram = lambda i: F.xxhash64(*[F.get(h, i + d) for d in range(GRAM)])
+        return F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: gram(i).bitwiseAND(F.lit(-8)).bitwiseOR(i.bitwiseAND(F.lit(7)).cast("long")))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), of)
 
 
 def _minima(words: Column) -> Column:
