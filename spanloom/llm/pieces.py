@@ -115,10 +115,19 @@ def ranges(text: np.ndarray, sa: np.ndarray, chars: np.ndarray, lengths: np.ndar
 
 
 class Encoder:
+    _instances: dict[str, Encoder] = {}
+
     def __init__(self, model: str):
         self.pieces = Pieces(model)
         self.known: dict[str, bytes] = {}
 
+    @classmethod
+    def of(cls, model: str) -> Encoder:
+        """A worker's own encoder, kept from task to task."""
+        if model not in cls._instances:
+            cls._instances[model] = cls(model)
+        return cls._instances[model]
+
     def _table(self, text: np.ndarray) -> np.ndarray:
         """Rank of the piece at each place, by length less one; NONE where there is none."""
         p = self.pieces
@@ -248,7 +257,7 @@ def _mapper(model: str, keep_ids: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = Encoder(model)
+        encoder = Encoder.of(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

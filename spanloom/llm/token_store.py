@@ -43,7 +43,9 @@ HEAD = struct.Struct("<BIIQQQqQQ")
 SHARD_IDS = 16_000_000
 SAMPLE = 256
 #: Chunks whose ids a worker remembers; past that it starts anew.
-CACHE = 300_000
+CACHE = 500_000
+#: Closing punctuation that the tokenizer splits off letters.
+TAILS = ".,;:!?*#$%&|"
 
 
 class EliasFano:
@@ -139,9 +141,13 @@ class Encoder:
     """Ids of whole texts as bytes, 16 bits each.
 
     The tokenizer drops white space and no token or normal form reaches across a
-    space or newline, so a text's ids are those of its chunks; a chunk is encoded once.
+    space or newline, so a text's ids are those of its chunks; a chunk is encoded
+    once. Chunks of letters, less closing punctuation, are encoded many at a time,
+    and cut where a token ends a word; all others one by one.
     """
 
+    _instances: dict[str, Encoder] = {}
+
     def __init__(self, model: str):
         import os
 
@@ -149,20 +155,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids take more than 16 bits")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def of(cls, model: str) -> Encoder:
+        """A worker's own encoder, kept from task to task."""
+        if model not in cls._instances:
+            cls._instances[model] = cls(model)
+        return cls._instances[model]
+
+    def _words(self, words: list[str]) -> None:
+        """Learns words of lower-case letters below U+0250: one token run each."""
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                self._chunks(part)
+                continue
+            data, left = ids.tobytes(), 0
+            for word, right in zip(part, (2 * cuts).tolist(), strict=True):
+                self.known[word] = data[left:right]
+                left = right
+
+    def _chunks(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 4096):
+            part = chunks[at : at + 4096]
+            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[chunk] = np.array(enc.ids, "<u2").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        other, split, words, tails = [], [], set(), set()
+        for chunk in new:
+            base = chunk.rstrip(TAILS)
+            word = base.lower()
+            if base and word.isalpha() and max(word) < "\u0250":
+                tail = chunk[len(base) :]
+                split.append((chunk, word, tail))
+                words.add(word)
+                tails.add(tail)
+            else:
+                other.append(chunk)
+        known = self.known
+        self._words(list(words.difference(known)))
+        self._chunks([*other, *tails.difference(known)])
+        for chunk, word, tail in split:
+            known[chunk] = known[word] + known[tail]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, end = [], struct.pack("<H", END_ID)
-        for text in texts:
-            chunks = (text or "").replace("\n", " ").split(" ")
-            new = list(set(chunks).difference(self.known))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(enc.ids, "<u2").tobytes()
-            out.append(b"".join([*map(self.known.__getitem__, chunks), end]))
+        for at in range(0, len(texts), 256):
+            cut = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            self._learn({c for chunks in cut for c in chunks}.difference(self.known))
+            out += [b"".join([*map(self.known.__getitem__, chunks), end]) for chunks in cut]
             if len(self.known) > CACHE:
                 self.known = {"": b""}
         return out
@@ -173,7 +222,7 @@ def _writer(model: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, Encoder(model)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, Encoder.of(model)
         ids, blobs, total = [], [], 0
 
         def shard() -> pa.RecordBatch:
