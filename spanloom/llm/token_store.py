@@ -189,28 +189,44 @@ class Encoder:
                 self.known[chunk] = np.array(enc.ids, "<u2").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        other, split, words, tails = [], [], set(), set()
+        """Learns chunks of lower-cased Latin-1 text."""
+        other, split, words, known = [], [], [], self.known
         for chunk in new:
             base = chunk.rstrip(TAILS)
-            word = base.lower()
-            if base and word.isalpha() and max(word) < "\u0250":
-                tail = chunk[len(base) :]
-                split.append((chunk, word, tail))
-                words.add(word)
-                tails.add(tail)
-            else:
+            if not base.isalpha():
                 other.append(chunk)
-        known = self.known
-        self._words(list(words.difference(known)))
+            elif len(base) == len(chunk):
+                words.append(chunk)
+            else:
+                split.append((chunk, base))
+        words = set(words)
+        words.update({base for _, base in split}.difference(known))
+        self._words(list(words))
+        tails = {chunk[len(base) :] for chunk, base in split}
         self._chunks([*other, *tails.difference(known)])
-        for chunk, word, tail in split:
-            known[chunk] = known[word] + known[tail]
+        for chunk, base in split:
+            known[chunk] = known[base] + known[chunk[len(base) :]]
+
+    @staticmethod
+    def _folded(text: str) -> str | None:
+        """The text in lower case if that changes no id: Latin-1 without a special token's opening; else null."""
+        if "<|" in text:
+            return None
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return text.lower()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, end = [], struct.pack("<H", END_ID)
-        for at in range(0, len(texts), 256):
-            cut = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-            self._learn({c for chunks in cut for c in chunks}.difference(self.known))
+        for at in range(0, len(texts), 1000):
+            part = [t or "" for t in texts[at : at + 1000]]
+            folded = list(map(self._folded, part))
+            cut = [(t if f is None else f).replace("\n", " ").split(" ") for t, f in zip(part, folded, strict=True)]
+            self._learn(set().union(*[c for c, f in zip(cut, folded, strict=True) if f is not None]).difference(self.known))
+            self._chunks(list(set().union(*[c for c, f in zip(cut, folded, strict=True) if f is None]).difference(self.known)))
             out += [b"".join([*map(self.known.__getitem__, chunks), end]) for chunks in cut]
             if len(self.known) > CACHE:
                 self.known = {"": b""}
