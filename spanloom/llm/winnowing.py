@@ -86,7 +86,7 @@ def _blocks(table: DataFrame) -> list[DataFrame]:
 
 def _long_hits(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """doc_id, hw, s, e, items for docs (doc_id, w)."""
-    probes = docs.select("doc_id", "w", F.posexplode(_minima(F.col("w"))).alias("i", "m"))
+    probes = docs.select("doc_id", "w", F.posexplode_outer(_minima(F.col("w"))).alias("i", "m"))  # outer: no filter that would compute the minima again
     hit = probes.withColumn("fp", F.col("m").bitwiseAND(F.lit(-8))).join(prints, "fp")
     at = F.col("i") + F.pmod(F.col("m").bitwiseAND(F.lit(7)).cast("int") - F.col("i"), F.lit(8))
     same = F.transform(F.sequence(F.lit(0), F.lit(GRAM + 2 * REACH - 1)), lambda o: F.coalesce(F.get("w", F.col("at") + o - REACH) == F.get("ctx", o), F.lit(False)))
@@ -98,7 +98,7 @@ def _long_hits(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
 def _short_hits(docs: DataFrame, shorts: DataFrame, sizes: list[int]) -> DataFrame:
     of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(F.slice("w", i + 1, F.lit(n))).alias("fp"), i.alias("i"), F.lit(n).alias("n"))))
-    probes = docs.select("doc_id", "w", F.explode(F.flatten(F.array_compact(F.array(*map(of, sizes))))).alias("x"))
+    probes = docs.select("doc_id", "w", F.explode_outer(F.flatten(F.array_compact(F.array(*map(of, sizes))))).alias("x"))
     hit = probes.withColumn("fp", F.col("x.fp")).join(shorts, "fp").where(F.slice("w", F.col("x.i") + 1, F.col("x.n")) == F.col("ctx"))
     return hit.select("doc_id", F.xxhash64("w").alias("hw"), F.col("x.i").alias("s"), (F.col("x.i") + F.col("x.n")).alias("e"), "items")
 
