@@ -43,7 +43,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, rk (hash of doc_id and text), k (line number), line (masked), n (fields), leaf, lh."""
     text = F.col("text")
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, MASK, "<*>")).otherwise(text)
-    rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.posexplode(F.split(masked, "\n")).alias("k", "line"))
+    rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.posexplode_outer(F.split(masked, "\n")).alias("k", "line"))  # outer: no filter that would split again
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     rows = rows.withColumn("n", n).where(F.col("n") >= MIN_FIELDS)
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH))).withColumn("lh", F.xxhash64("line"))
