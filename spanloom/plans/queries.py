@@ -387,10 +387,10 @@ def relay_latency(b: Bridge) -> DataFrame:
     return pairs.join(last, [P, "tx_id"]).select(P, "rx_id", "tx_id", "rx_start_ns", "sent_ns", "bytes", (F.col("sent_ns") - F.col("rx_start_ns")).alias("latency_ns"))
 
 
-@query(f"SELECT direction, phase, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.9) AS p90, quantile_cont(d, 0.99) AS p99 FROM (SELECT o.direction, p.phase, p.e - p.s AS d FROM ({_CLOSED}) p JOIN {{object_start}} o ON p.trace_id = o.trace_id) GROUP BY ALL".replace("{{", "{").replace("}}", "}"))
+@query(f"SELECT direction, phase, round(quantile_cont(d, 0.5), 3) AS p50, round(quantile_cont(d, 0.9), 3) AS p90, round(quantile_cont(d, 0.99), 3) AS p99 FROM (SELECT o.direction, p.phase, p.e - p.s AS d FROM ({_CLOSED}) p JOIN {{object_start}} o ON p.trace_id = o.trace_id) GROUP BY ALL".replace("{{", "{").replace("}}", "}"))
 def latency_percentiles(b: Bridge) -> DataFrame:
     done = span_pairing_object(b).where("start_ns IS NOT NULL AND end_ns IS NOT NULL").join(b.object_start.select(P, "trace_id", "direction"), [P, "trace_id"])
-    return done.groupBy("direction", "phase").agg(*[F.percentile("duration_ns", F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
+    return done.groupBy("direction", "phase").agg(*[F.round(F.percentile("duration_ns", F.lit(q)), 3).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
 
 
 @query("SELECT rx_id, tx_id, latency_ns FROM (" + _RELAY + ") ORDER BY latency_ns DESC, tx_id LIMIT 20")

@@ -21,7 +21,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class _Pairing(StatefulProcessor):
     """Holds one half of a span until the other comes, or until the timer fires."""
 
-    def __init__(self, timeout_ms: int):
+    def __init__(self, timeout_ms: int | None):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -42,12 +42,14 @@ class _Pairing(StatefulProcessor):
                     end, outcome = int(at), None if pd.isna(result) else result
         if start is not None and end is not None:
             self.half.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if self.timeout_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             yield self._row(key, start, end, outcome)
         else:
             self.half.update((start, end, outcome))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            if self.timeout_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.half.exists():
@@ -59,9 +61,14 @@ class _Pairing(StatefulProcessor):
         pass
 
 
-def paired(edges: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """Spans of a stream of edges, each emitted once both halves came; orphans after the timeout."""
-    return edges.groupBy("process_key", "span_id").transformWithStateInPandas(_Pairing(timeout_ms), outputStructType=PAIRED, outputMode="append", timeMode="processingTime")
+def paired(edges: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """Spans of a stream of edges, each emitted once both halves came.
+
+    With a timeout (queries that run on) orphans leave as open or headless when
+    it is over; without one (a run over what is there) they stay in the state store.
+    """
+    mode = "none" if timeout_ms is None else "processingTime"
+    return edges.groupBy("process_key", "span_id").transformWithStateInPandas(_Pairing(timeout_ms), outputStructType=PAIRED, outputMode="append", timeMode=mode)
 
 
 def window_counts(edges: DataFrame, width: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
