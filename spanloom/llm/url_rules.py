@@ -78,7 +78,7 @@ def rule_stack_type(spark: SparkSession, rules: DataFrame):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])))
     judged = judge(pages, rules).withColumnRenamed("url", "u")
     return pages.join(judged, F.col("url").eqNullSafe(F.col("u")), "left").select("page_id", "host", "path", "rule", "verdict")
 
