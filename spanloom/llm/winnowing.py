@@ -84,16 +84,21 @@ def _blocks(table: DataFrame) -> list[DataFrame]:
     return [F.broadcast(table.where(F.pmod("fp", F.lit(n)) == k)) for k in range(n)]
 
 
-def _long_hits(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """doc_id, hw, s, e, items for docs (doc_id, w)."""
-    probes = docs.select("doc_id", "w", F.posexplode_outer(_minima(F.col("w"))).alias("i", "m"))  # outer: no filter that would compute the minima again
+def _long_hits(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, hw, s, e, items for docs (doc_id, w).
+
+    Probes carry no words: a generator copies what it carries into each of its rows. Words meet the hits again.
+    """
+    probes = docs.select("doc_id", F.xxhash64("w").alias("hw"), F.posexplode_outer(_minima(F.col("w"))).alias("i", "m"))
     hit = probes.withColumn("fp", F.col("m").bitwiseAND(F.lit(-8))).join(prints, "fp")
     at = F.col("i") + F.pmod(F.col("m").bitwiseAND(F.lit(7)).cast("int") - F.col("i"), F.lit(8))
+    seeds = scratch.write(hit.select(F.col("doc_id").alias("s_id"), F.col("hw").alias("s_hw"), at.alias("at"), "ctx", "items").distinct(), "seeds")
+    hit = docs.withColumn("hw", F.xxhash64("w")).join(seeds, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hw") == F.col("s_hw")))
     same = F.transform(F.sequence(F.lit(0), F.lit(GRAM + 2 * REACH - 1)), lambda o: F.coalesce(F.get("w", F.col("at") + o - REACH) == F.get("ctx", o), F.lit(False)))
     run = lambda a: F.when(F.array_position(a, False) == 0, REACH).otherwise(F.array_position(a, False) - 1).cast("int")
-    ext = hit.withColumn("at", at).withColumn("eq", same).where(~F.array_contains(F.slice("eq", REACH + 1, GRAM), False))
+    ext = hit.withColumn("eq", same).where(~F.array_contains(F.slice("eq", REACH + 1, GRAM), False))
     ext = ext.withColumn("l", run(F.reverse(F.slice("eq", 1, REACH)))).withColumn("r", run(F.slice("eq", REACH + GRAM + 1, REACH))).where(F.col("l") + F.col("r") + GRAM >= SPAN)
-    return ext.select("doc_id", F.xxhash64("w").alias("hw"), (F.col("at") - F.col("l")).alias("s"), (F.col("at") + GRAM + F.col("r")).alias("e"), "items")
+    return ext.select("doc_id", "hw", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + GRAM + F.col("r")).alias("e"), "items")
 
 
 def _short_hits(docs: DataFrame, shorts: DataFrame, sizes: list[int]) -> DataFrame:
@@ -109,7 +114,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = docs.select("doc_id", letter_words(F.col("text")).alias("w"))
     prints, shorts = scratch.write(benchmark_fingerprints(benchmark), "prints"), scratch.write(short_items(benchmark), "short")
     sizes = sorted(r[0] for r in shorts.select(F.size("ctx")).distinct().collect())  # nine values at most
-    found = [_long_hits(words, b) for b in _blocks(prints)] + [_short_hits(words, b, sizes) for b in _blocks(shorts)]
+    found = [_long_hits(words, b, scratch) for b in _blocks(prints)] + [_short_hits(words, b, sizes) for b in _blocks(shorts)]
     if not found:
         found = [docs.sparkSession.createDataFrame([], docs.select("doc_id", F.lit(0).cast("long").alias("hw"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.array().cast("array<string>").alias("items")).schema)]
     every = reduce(DataFrame.unionByName, found)
