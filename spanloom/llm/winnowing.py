@@ -17,7 +17,8 @@ Distribution: one scan of the documents makes the fingerprints inside
 whole-stage code and probes the benchmark's, which are cut into blocks of at
 most BLOCK rows; each block is broadcast (about 30 MB at most) and more blocks
 mean more passes, not a larger broadcast. Copies of an item, and items with the
-same passage, are one row. Only hits are shuffled.
+same passage, are one row. Hits meet the words again: broadcast if they are at
+most BLOCK rows, else with the words shuffled once.
 
 Defined results: a null or empty text has no words and no hits; items without
 words have no window; items with a null id hit words but are not counted;
@@ -31,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, letter_words, read
+from .common import Scratch, broadcast_if_small, let, letter_words, read
 
 SPAN = 10
 GRAM = 5
@@ -93,7 +94,7 @@ def _long_hits(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFram
     hit = probes.withColumn("fp", F.col("m").bitwiseAND(F.lit(-8))).join(prints, "fp")
     at = F.col("i") + F.pmod(F.col("m").bitwiseAND(F.lit(7)).cast("int") - F.col("i"), F.lit(8))
     seeds = scratch.write(hit.select(F.col("doc_id").alias("s_id"), F.col("hw").alias("s_hw"), at.alias("at"), "ctx", "items").distinct(), "seeds")
-    hit = docs.withColumn("hw", F.xxhash64("w")).join(seeds, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hw") == F.col("s_hw")))
+    hit = docs.withColumn("hw", F.xxhash64("w")).join(broadcast_if_small(seeds, BLOCK), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hw") == F.col("s_hw")))
     same = F.transform(F.sequence(F.lit(0), F.lit(GRAM + 2 * REACH - 1)), lambda o: F.coalesce(F.get("w", F.col("at") + o - REACH) == F.get("ctx", o), F.lit(False)))
     run = lambda a: F.when(F.array_position(a, False) == 0, REACH).otherwise(F.array_position(a, False) - 1).cast("int")
     ext = hit.withColumn("eq", same).where(~F.array_contains(F.slice("eq", REACH + 1, GRAM), False))
