@@ -1,22 +1,32 @@
-"""Removal of repeated 400-byte strings.
+"""Removal of repeated 400-byte strings by a sorted-suffix merge.
 
 Every byte that lies in a SPAN-byte string which also starts somewhere else, in
 another document or the same one, is removed.
 
-Sorting every suffix of the corpus by a front-coded merge does not fit the
-limits in Python (see the README), so only strings that can repeat are
-compared. Each string start has an anchor, the leftmost place in the string
-whose 32-byte gram has the least hash: equal strings have equal anchors at
-equal distance. Consecutive starts with one anchor form a segment (about 185
-starts). Only segments whose gram occurs twice go on; equal segments are
-counted, not compared; the different segments of a gram meet in one place,
-where rolling hashes (two independent ones of 64 bits) of all their strings are
-sorted, and equal neighbours are repeats.
+Which suffixes are sorted: each string start has an anchor, the leftmost place
+in the string whose GRAM-byte gram has the least hash, so equal strings have
+equal anchors at equal distance. Consecutive starts with one anchor form a
+segment (about 185 starts). Only segments whose gram occurs twice go on, and
+equal segments are counted, not compared. What follows an anchor is sorted as a
+suffix, what precedes it as a suffix of the reversed text; sorting the suffix
+of every start instead gives the same repeats from two hundred times the rows.
+
+How they are sorted: each task sorts its segments into runs and front-codes
+them (length of the prefix shared with the row before, and the rest). Runs are
+exchanged by gram, that is by the suffix's first GRAM bytes, and a loser tree
+merges them. It keeps for each head the prefix known to be shared with the last
+winner: unequal lengths decide without looking at bytes, equal ones are
+compared from there on. The merge thus also yields the common prefix of
+neighbours in the order. Two strings at distance d before their anchor are
+equal where d bytes before it and SPAN - d after it are, which the neighbours'
+prefixes tell for all d at once. Bytes decide, not hashes; only equal segments
+are recognised by a 128-bit digest.
 
 Distribution: two scans (grams, then the segments of repeated grams). Copies of
 a segment collapse map-side before the shuffle, so a passage in a third of all
 documents is one row. The gram table is broadcast below a checked size only.
-Repeats come back to each occurrence by an equi-join on the segment's digest.
+The different segments of one gram meet in one task. Repeats come back to each
+occurrence by an equi-join on the segment's digest.
 
 Defined results: a null or empty text has no bytes and nothing is removed;
 repeated rows (same doc_id and text) repeat each other; texts shorter than SPAN
@@ -27,6 +37,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +52,11 @@ GRAM = 32
 BROADCAST_ROWS = 1_000_000
 #: Places told apart in one go; longer texts go in overlapping pieces.
 PIECE = 1 << 20
-#: Bytes of segments compared at once (whole grams).
-BATCH = 4 << 20
+#: Bytes of segments sorted into one run.
+RUN = 16 << 20
+#: Segments whose repeats are worked out at once (whole grams), and entries of a table of segments by distances.
+BATCH = 8_000
+CELLS = 1 << 22
 
 _PLACES = np.uint64(PIECE - 1)
 
@@ -93,76 +108,178 @@ def _segment_rows(batches: Iterator) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], []]  # gram, document, place, anchor within the segment, bytes
             for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if not t or len(t) * 4 < SPAN:
                     continue
                 data = t.encode()
-                for g, _, first, last in segments(np.frombuffer(data, np.uint8)):
-                    for one, a, z in zip(g.tolist(), first.tolist(), last.tolist(), strict=True):
+                for g, anchor, first, last in segments(np.frombuffer(data, np.uint8)):
+                    for one, mid, a, z in zip(g.tolist(), anchor.tolist(), first.tolist(), last.tolist(), strict=True):
                         rows[0].append(one)
                         rows[1].append(rk)
                         rows[2].append(a)
-                        rows[3].append(data[a : z + SPAN])
-            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in rows[3]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(digest, pa.binary()), pa.array(rows[3], pa.binary())], ["g", "rk", "at", "sd", "seg"])
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray, list[int]]:
-    rng = np.random.default_rng(400)
-    return rng.integers(0, 2**63, 256, dtype=np.uint64), rng.integers(0, 2**63, 256, dtype=np.uint64), [0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1]
-
-
-def repeated_starts(grams: np.ndarray, segs: list[bytes], copies: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each segment, the byte ranges of its strings that occur twice or more among segments of the same gram."""
-    joined = np.frombuffer(b"".join(segs), np.uint8)
-    size = np.array([len(s) for s in segs], np.int64)
-    base = np.cumsum(size) - size
-    n = size - SPAN + 1
-    row = np.repeat(np.arange(len(segs)), n)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(base, n)
-    hashes = []
-    for table, factor in zip(_tables()[:2], _tables()[2], strict=True):
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(joined), factor, np.uint64)]))
-        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(joined), pow(factor, -1, 1 << 64), np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[joined] * powers[:-1])])
-        hashes.append((sums[start + SPAN] - sums[start]) * inverse[start])
-    key = hashes[0] ^ (grams[row].view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    order = np.argsort(key, kind="stable")
-    same = (key[order[1:]] == key[order[:-1]]) & (hashes[1][order[1:]] == hashes[1][order[:-1]]) & (grams[row[order[1:]]] == grams[row[order[:-1]]])
-    twice = np.repeat(copies > 1, n)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    at = np.flatnonzero(twice)
-    out: list[list[tuple[int, int]]] = [[] for _ in segs]
-    if len(at):
-        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(row[at]) > 0))
-        for a, z in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, len(at) - 1)].tolist(), strict=True):
-            r = int(row[a])
-            out[r].append((int(start[a] - base[r]), int(start[z] - base[r]) + SPAN))
-    return out
+                        rows[3].append(mid - a)
+                        rows[4].append(data[a : z + SPAN])
+            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in rows[4]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(digest, pa.binary()), pa.array(rows[4], pa.binary())], ["g", "rk", "at", "mid", "sd", "seg"])
 
 
-def _compare(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def shared(a: bytes, b: bytes, known: int = 0) -> int:
+    """Length of the common prefix of a and b, of which known bytes are known."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[known:n]) ^ int.from_bytes(b[known:n])
+    return n - (x.bit_length() + 7) // 8
 
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
 
-    def done(rows: list) -> pa.RecordBatch:
-        ranges = repeated_starts(np.array([r[0] for r in rows], np.int64), [r[3] for r in rows], np.array([r[2] for r in rows], np.int64))
-        kept = [(r[0], r[1], [{"a": a, "z": z} for a, z in x]) for r, x in zip(rows, ranges, strict=True) if x]
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary()), pa.array([k[2] for k in kept], kind)], ["g", "sd", "ranges"])
+def _runs(batches: Iterator) -> Iterator:
+    """Front-coded sorted runs: what follows the anchors (side 0), and what precedes them, reversed (side 1)."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    names = ["g", "side", "run", "pos", "lcp", "tail", "sd", "copies"]
+    run = TaskContext.get().partitionId() << 20
+
+    def coded(rows: list, side: int) -> pa.RecordBatch:
+        keys = sorted((r[0], r[4][: r[3]][::-1] if side else r[4][r[3] :], i) for i, r in enumerate(rows))
+        lcps, tails, before, gram = [], [], b"", None
+        for g, own, _ in keys:
+            lcp = shared(before, own) if g == gram else 0
+            lcps.append(lcp)
+            tails.append(own[lcp:])
+            before, gram = own, g
+        n = len(keys)
+        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([side] * n, pa.int32()), pa.array([run] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(lcps, pa.int32()), pa.array(tails, pa.binary()), pa.array([rows[k[2]][1] for k in keys], pa.binary()), pa.array([rows[k[2]][2] for k in keys], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     rows, total = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if total > BATCH and row[0] != rows[-1][0]:
-                yield done(rows)
-                rows, total = [], 0
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             rows.append(row)
-            total += len(row[3])
+            total += len(row[4])
+            if total > RUN:
+                yield from (coded(rows, 0), coded(rows, 1))
+                rows, total, run = [], 0, run + 1
     if rows:
-        yield done(rows)
+        yield from (coded(rows, 0), coded(rows, 1))
+
+
+def merged(runs: list[list[tuple]]) -> list[tuple]:
+    """One sorted run of sorted runs of (common prefix with the one before, string, ...), by a loser tree."""
+    if len(runs) == 1:
+        return runs[0]
+    lanes = 1 << (len(runs) - 1).bit_length()
+    at = [0] * lanes
+    head = [r[0] if r else None for r in runs] + [None] * (lanes - len(runs))
+    known = [0] * lanes
+
+    def loses(a: int, b: int) -> bool:
+        """Whether b goes before a; the loser's known prefix becomes the one shared with the winner."""
+        if head[b] is None:
+            return False
+        if head[a] is None:
+            return True
+        if known[a] != known[b]:
+            return known[a] < known[b]
+        x, y = head[a][1], head[b][1]
+        n = shared(x, y, known[a])
+        after = x[n : n + 1] > y[n : n + 1]
+        known[a if after else b] = n
+        return after
+
+    losers, best = [0] * lanes, [0] * lanes + list(range(lanes))
+    for node in range(lanes - 1, 0, -1):
+        a, b = best[2 * node], best[2 * node + 1]
+        best[node], losers[node] = (b, a) if loses(a, b) else (a, b)
+    lane, out = best[1], []
+    while head[lane] is not None:
+        out.append((known[lane], *head[lane][1:]))
+        at[lane] += 1
+        own = runs[lane]
+        if at[lane] < len(own):
+            head[lane] = own[at[lane]]
+            known[lane] = head[lane][0]
+        else:
+            head[lane] = None
+        node = (lane + lanes) >> 1
+        while node:
+            if loses(lane, losers[node]):
+                lane, losers[node] = losers[node], lane
+            node >>= 1
+    return out
+
+
+def repeated_starts(after: np.ndarray, rank: np.ndarray, before: np.ndarray, rank_before: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Segment, least and greatest distance to the anchor of runs of strings that another segment has, too.
+
+    after and before hold the common prefix of each suffix (reversed prefix) with the one before it in its order,
+    rank and rank_before each segment's place there, low and high the distances of each segment's strings.
+    """
+    n = len(rank)
+    place = np.arange(n)[:, None]
+    step = max(CELLS // n, 1)
+    for d in range(int(low.min()), int(high.max()) + 1, step):
+        ds = np.arange(d, min(d + step, int(high.max()) + 1))
+        right = np.maximum.accumulate(np.where(after[:, None] < SPAN - ds, place, 0), axis=0)[rank]
+        left = np.maximum.accumulate(np.where(before[:, None] < ds, place, 0), axis=0)[rank_before]
+        row, col = np.nonzero((ds >= low[:, None]) & (ds <= high[:, None]))
+        key = (left[row, col] * n + right[row, col]) * len(ds) + col
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        twice = np.zeros(len(key), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        hit = np.flatnonzero(twice)
+        if len(hit):
+            cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(row[hit]) > 0))
+            a, z = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]
+            yield row[a], ds[col[a]], ds[col[z]]
+
+
+def _decoded(rows: Iterator) -> list[tuple]:
+    """A front-coded run of one gram as (common prefix, string, digest, copies)."""
+    out, own = [], b""
+    for r in rows:
+        own = own[: r[3]] + r[4]
+        out.append((r[3], own, r[5], r[6]))
+    return out
+
+
+def _compare(batches: Iterator) -> Iterator:
+    """Merges the runs of each gram and gives the ranges of repeated bytes of each segment."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
+    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True))
+
+    def done(grams: list[tuple]) -> pa.RecordBatch:
+        after = np.array([x[0] for _, sides in grams for x in sides[0]], np.int64)
+        before = np.array([x[0] for _, sides in grams for x in sides[1]], np.int64)
+        items = [(g, x[2], x[3]) for g, sides in grams for x in sides[0]]
+        low = SPAN - np.array([len(x[1]) for _, sides in grams for x in sides[0]], np.int64)
+        where = {(g, sd): i for i, (g, sd, _) in enumerate(items)}
+        item = np.array([where[g, x[2]] for g, sides in grams for x in sides[1]], np.int64)
+        high, rank_before = np.empty(len(items), np.int64), np.empty(len(items), np.int64)
+        high[item] = [len(x[1]) for _, sides in grams for x in sides[1]]
+        rank_before[item] = np.arange(len(items))
+        ranges: list[list[dict]] = [[{"a": 0, "z": int(h - w) + SPAN}] if x[2] > 1 else [] for x, w, h in zip(items, low, high, strict=True)]
+        if any(len(sides[0]) > 1 for _, sides in grams):
+            for which, a, z in repeated_starts(after, np.arange(len(items)), before, rank_before, low, high):
+                for i, x, y in zip(which.tolist(), a.tolist(), z.tolist(), strict=True):
+                    if items[i][2] == 1:
+                        ranges[i].append({"a": int(high[i]) - y, "z": int(high[i]) - x + SPAN})
+        kept = [i for i, r in enumerate(ranges) if r]
+        return pa.RecordBatch.from_arrays([pa.array([items[i][0] for i in kept], pa.int64()), pa.array([items[i][1] for i in kept], pa.binary()), pa.array([ranges[i] for i in kept], kind)], ["g", "sd", "ranges"])
+
+    grams, total = [], 0
+    for g, own in groupby(rows, itemgetter(0)):
+        sides = [merged([_decoded(run) for _, run in groupby(side, itemgetter(2))]) for _, side in groupby(own, itemgetter(1))]
+        grams.append((g, sides))
+        total += len(sides[0])
+        if total > BATCH:
+            yield done(grams)
+            grams, total = [], 0
+    if grams:
+        yield done(grams)
 
 
 def _cut(batches: Iterator) -> Iterator:
@@ -197,10 +314,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     grams = docs.select("text").mapInArrow(_gram_rows, "g bigint").groupBy("g").count().where("count > 1").select("g")
     grams = scratch.write(grams, "grams")
     own = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
-    found = own.mapInArrow(_segment_rows, "g bigint, rk bigint, at bigint, sd binary, seg binary").join(broadcast_if_small(grams, BROADCAST_ROWS), "g")
+    found = own.mapInArrow(_segment_rows, "g bigint, rk bigint, at bigint, mid int, sd binary, seg binary").join(broadcast_if_small(grams, BROADCAST_ROWS), "g")
     found = scratch.write(found, "segments")
-    kinds = found.groupBy("g", "sd").agg(F.count("*").alias("copies"), F.first("seg").alias("seg"))
-    ranges = kinds.select("g", "sd", "copies", "seg").repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "g bigint, sd binary, ranges array<struct<a:bigint,z:bigint>>")
+    kinds = found.groupBy("g", "sd").agg(F.count("*").alias("copies"), F.first("mid").alias("mid"), F.first("seg").alias("seg"))
+    runs = kinds.select("g", "sd", "copies", "mid", "seg").mapInArrow(_runs, "g bigint, side int, run bigint, pos int, lcp int, tail binary, sd binary, copies bigint")
+    ranges = runs.repartition("g").sortWithinPartitions("g", "side", "run", "pos").select("g", "side", "run", "lcp", "tail", "sd", "copies").mapInArrow(_compare, "g bigint, sd binary, ranges array<struct<a:bigint,z:bigint>>")
     ranges = scratch.write(ranges, "ranges")
     spans = found.select("g", "sd", "rk", "at").join(ranges, ["g", "sd"]).select("rk", F.explode(F.transform("ranges", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["z"] + F.col("at")).alias("z")))).alias("s"))
     per_doc = spans.groupBy("rk").agg(F.collect_set("s").alias("spans"))

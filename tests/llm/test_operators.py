@@ -244,6 +244,71 @@ def test_repeats(docs, rows, empty):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_loser_tree():
+    rng = random.Random(3)
+    for lanes in (1, 2, 3, 5, 8):
+        runs = []
+        for _ in range(lanes):
+            own = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 40)))
+            runs.append([(repeats.shared(a, b), b) for a, b in zip([b"", *own], own)])
+        got = repeats.merged(runs)
+        want = sorted(x[1] for r in runs for x in r)
+        assert [x[1] for x in got] == want
+        assert [x[0] for x in got] == [repeats.shared(a, b) for a, b in zip([b"", *want], want)]
+
+
+def test_repeats_of_many_kinds(spark):
+    """Passages with other neighbours and small changes, in several runs."""
+    rng = random.Random(7)
+    base = [bytes(rng.choice(b"abcd efg") for _ in range(900)).decode() for _ in range(3)]
+    texts = []
+    for i in range(60):
+        own = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(900)] = "z"
+        texts.append("".join(rng.choice("pqr") for _ in range(rng.randrange(300))) + "".join(own)[rng.randrange(200) : 900 - rng.randrange(200)])
+    count = {}
+    for t in texts:
+        for k in range(len(t) - 399):
+            count[t[k : k + 400]] = count.get(t[k : k + 400], 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if count[t[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        want[i] = "".join(c for c, g in zip(t, gone) if not g)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.doc_id: bytes(r.kept).decode() for r in repeats.without_repeats(docs).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 22])
+def test_repeated_starts(monkeypatch, cells):
+    monkeypatch.setattr(repeats, "CELLS", cells)
+    rng = random.Random(2)
+    tails = [b"c" * k + b"d" for k in (0, 3, 394, 396, 397, 398)]
+    low, high = [rng.randrange(5) for _ in range(40)], [rng.randrange(5, 12) for _ in range(40)]
+    own = {(bytes(rng.choice(b"ab") for _ in range(h)), (rng.choice(tails) + b"c" * 400)[: repeats.SPAN - w]) + (w, h) for w, h in zip(low, high)}
+    segs = sorted(own, key=lambda x: x[1])
+    back = sorted(range(len(segs)), key=lambda i: segs[i][0][::-1])
+    lcps = lambda keys: np.array([repeats.shared(a, b) for a, b in zip([b"", *keys], keys)])
+    rank = np.empty(len(segs), np.int64)
+    rank[back] = np.arange(len(segs))
+    low, high = np.array([x[2] for x in segs]), np.array([x[3] for x in segs])
+    found = repeats.repeated_starts(lcps([x[1] for x in segs]), np.arange(len(segs)), lcps([segs[i][0][::-1] for i in back]), rank, low, high)
+    got = {(i, d) for which, a, z in found for i, x, y in zip(which.tolist(), a.tolist(), z.tolist()) for d in range(x, y + 1)}
+    string = lambda i, d: (d, segs[i][0][len(segs[i][0]) - d :] + segs[i][1][: repeats.SPAN - d])
+    every = [(i, d) for i in range(len(segs)) for d in range(low[i], high[i] + 1)]
+    count = {}
+    for i, d in every:
+        count[string(i, d)] = count.get(string(i, d), 0) + 1
+    assert got == {(i, d) for i, d in every if count[string(i, d)] > 1}
+
+
 def test_pieces(docs, rows, empty):
     import sentencepiece
 
