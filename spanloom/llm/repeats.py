@@ -25,8 +25,11 @@ are recognised by a 128-bit digest.
 Distribution: two scans (grams, then the segments of repeated grams). Copies of
 a segment collapse map-side before the shuffle, so a passage in a third of all
 documents is one row. The gram table is broadcast below a checked size only.
-The different segments of one gram meet in one task. Repeats come back to each
-occurrence by an equi-join on the segment's digest.
+The different segments of one gram meet in one task, unless the gram occurs more
+than HOT times (a short passage that many texts share): then each segment is cut
+by distance into parts of STEP, and only parts that agree in the SPAN - STEP + 1
+bytes which all their strings hold meet. Equal strings agree in them, so no repeat
+is left out. Repeats come back to each occurrence by an equi-join on the segment's digest.
 
 Defined results: a null or empty text has no bytes and nothing is removed;
 repeated rows (same doc_id and text) repeat each other; texts shorter than SPAN
@@ -56,6 +59,9 @@ PIECE = 1 << 20
 RUN = 16 << 20
 #: Segments whose repeats are worked out at once (whole grams), and entries of a table of segments by distances.
 BATCH = 8_000
+#: Occurrences from which a gram's segments are dealt out by more of their bytes, and the distances of one part.
+HOT = 20_000
+STEP = 32
 CELLS = 1 << 22
 
 _PLACES = np.uint64(PIECE - 1)
@@ -131,6 +137,19 @@ def shared(a: bytes, b: bytes, known: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
+def parts(g: int, sd: bytes, copies: int, mid: int, seg: bytes) -> Iterator[tuple]:
+    """A segment of a hot gram in parts by distance to the anchor, each with a key of the bytes that its strings hold.
+
+    A part's digest is the segment's with the part's place in the segment after it.
+    """
+    low = SPAN - (len(seg) - mid)
+    for near in range(low - low % STEP, mid + 1, STEP):
+        far = near + STEP - 1
+        key = hashlib.blake2b(near.to_bytes(4, "little") + seg[mid - near : mid + SPAN - far], digest_size=8).digest()
+        least, most = max(near, low), min(far, mid)
+        yield int.from_bytes(key, "little", signed=True), sd + (mid - most).to_bytes(4, "little"), copies, most, seg[mid - most : mid + SPAN - least]
+
+
 def _runs(batches: Iterator) -> Iterator:
     """Front-coded sorted runs: what follows the anchors (side 0), and what precedes them, reversed (side 1)."""
     import pyarrow as pa
@@ -153,9 +172,10 @@ def _runs(batches: Iterator) -> Iterator:
 
     rows, total = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            rows.append(row)
-            total += len(row[4])
+        for g, sd, copies, mid, seg, hot in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            own = list(parts(g, sd, copies, mid, seg)) if hot else [(g, sd + bytes(4), copies, mid, seg)]
+            rows += own
+            total += sum(len(r[4]) for r in own)
             if total > RUN:
                 yield from (coded(rows, 0), coded(rows, 1))
                 rows, total, run = [], 0, run + 1
@@ -268,7 +288,9 @@ def _compare(batches: Iterator) -> Iterator:
                     if items[i][2] == 1:
                         ranges[i].append({"a": int(high[i]) - y, "z": int(high[i]) - x + SPAN})
         kept = [i for i, r in enumerate(ranges) if r]
-        return pa.RecordBatch.from_arrays([pa.array([items[i][0] for i in kept], pa.int64()), pa.array([items[i][1] for i in kept], pa.binary()), pa.array([ranges[i] for i in kept], kind)], ["g", "sd", "ranges"])
+        place = {i: int.from_bytes(items[i][1][16:], "little") for i in kept}
+        moved = [[{"a": x["a"] + place[i], "z": x["z"] + place[i]} for x in ranges[i]] for i in kept]
+        return pa.RecordBatch.from_arrays([pa.array([items[i][1][:16] for i in kept], pa.binary()), pa.array(moved, kind)], ["sd", "ranges"])
 
     grams, total = [], 0
     for g, own in groupby(rows, itemgetter(0)):
@@ -311,16 +333,16 @@ def _cut(batches: Iterator) -> Iterator:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (the remaining bytes) and spans (removed runs, bytes) of every row of docs."""
     scratch = Scratch(docs.sparkSession)
-    grams = docs.select("text").mapInArrow(_gram_rows, "g bigint").groupBy("g").count().where("count > 1").select("g")
+    grams = docs.select("text").mapInArrow(_gram_rows, "g bigint").groupBy("g").count().where("count > 1").select("g", (F.col("count") > HOT).alias("hot"))
     grams = scratch.write(grams, "grams")
     own = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
     found = own.mapInArrow(_segment_rows, "g bigint, rk bigint, at bigint, mid int, sd binary, seg binary").join(broadcast_if_small(grams, BROADCAST_ROWS), "g")
     found = scratch.write(found, "segments")
-    kinds = found.groupBy("g", "sd").agg(F.count("*").alias("copies"), F.first("mid").alias("mid"), F.first("seg").alias("seg"))
-    runs = kinds.select("g", "sd", "copies", "mid", "seg").mapInArrow(_runs, "g bigint, side int, run bigint, pos int, lcp int, tail binary, sd binary, copies bigint")
-    ranges = runs.repartition("g").sortWithinPartitions("g", "side", "run", "pos").select("g", "side", "run", "lcp", "tail", "sd", "copies").mapInArrow(_compare, "g bigint, sd binary, ranges array<struct<a:bigint,z:bigint>>")
+    kinds = found.groupBy("g", "sd").agg(F.count("*").alias("copies"), F.first("mid").alias("mid"), F.first("seg").alias("seg"), F.first("hot").alias("hot"))
+    runs = kinds.select("g", "sd", "copies", "mid", "seg", "hot").mapInArrow(_runs, "g bigint, side int, run bigint, pos int, lcp int, tail binary, sd binary, copies bigint")
+    ranges = runs.repartition("g").sortWithinPartitions("g", "side", "run", "pos").select("g", "side", "run", "lcp", "tail", "sd", "copies").mapInArrow(_compare, "sd binary, ranges array<struct<a:bigint,z:bigint>>")
     ranges = scratch.write(ranges, "ranges")
-    spans = found.select("g", "sd", "rk", "at").join(ranges, ["g", "sd"]).select("rk", F.explode(F.transform("ranges", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["z"] + F.col("at")).alias("z")))).alias("s"))
+    spans = found.select("sd", "rk", "at").join(ranges, "sd").select("rk", F.explode(F.transform("ranges", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["z"] + F.col("at")).alias("z")))).alias("s"))
     per_doc = spans.groupBy("rk").agg(F.collect_set("s").alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk")).join(per_doc, "rk", "left").select("doc_id", "text", "spans")

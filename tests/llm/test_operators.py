@@ -132,7 +132,10 @@ def test_minhash(docs, rows, empty, k):
     assert minhash.linked(empty).count() == minhash.keep_one(empty).count() == 0
 
 
-def test_minhash_near_misses_keep_every_link(spark):
+@pytest.mark.parametrize("task", [10_000, 30])
+def test_minhash_near_misses_keep_every_link(spark, monkeypatch, task):
+    """Also with buckets so hot that they are cut by further bands and compared in cells."""
+    monkeypatch.setattr(minhash, "TASK", task)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(4000)]
     base = rng.sample(words, 120)
@@ -226,7 +229,9 @@ def test_secrets(docs, rows, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
-def test_repeats(docs, rows, empty):
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_repeats(docs, rows, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     data = [(t or "").encode() for _, t in rows]
     count = {}
     for b in data:
@@ -257,8 +262,10 @@ def test_loser_tree():
         assert [x[0] for x in got] == [repeats.shared(a, b) for a, b in zip([b"", *want], want)]
 
 
-def test_repeats_of_many_kinds(spark):
-    """Passages with other neighbours and small changes, in several runs."""
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_repeats_of_many_kinds(spark, monkeypatch, hot):
+    """Passages with other neighbours and small changes, in several runs; also with every gram hot."""
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng = random.Random(7)
     base = [bytes(rng.choice(b"abcd efg") for _ in range(900)).decode() for _ in range(3)]
     texts = []
