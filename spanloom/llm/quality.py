@@ -4,8 +4,10 @@ Each document gets integer metrics. For every language and source a
 sketch (a histogram whose buckets keep the six leading bits of a value, so
 its relative error is at most 1/32 and two sketches merge by adding counts)
 yields the quartiles of every metric. A document fails where a metric lies
-beyond Tukey's outer fence of its own language and source and also beyond a
-fixed slack, so that a uniform, clean source rejects nothing.
+beyond Tukey's outer fence of its own language and source. So that a uniform,
+clean source rejects nothing, the spread counts as an eighth of the group's median
+(mean length) or LEAST (symbols) at least; only duplicate lines keep a fixed slack.
+The query's rows are those of SQL, which widens each fence by SLACK instead.
 
 Defined results: a null or empty text has no words and fails the base rule;
 null languages and sources form groups of their own; repeated rows are judged
@@ -22,9 +24,11 @@ from .common import SPACE_CHARS, Scratch, let, space_words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: metric: (slack below, slack above); a value within the slack never fails.
+#: metric: (slack below, slack above); a value within the slack never fails in the query, and for duplicate lines anywhere.
 SLACK = {"len": (200, 1500), "sym": (-1, 1500), "dup": (-1, 300)}
 FENCE = 3
+#: Symbols per 1000 words that the quartiles' distance counts as at least.
+LEAST = 50
 
 
 def _repeat_words(words: Column) -> Column:
@@ -78,18 +82,24 @@ def _bucket(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, low), low)
 
 
-def thresholds(metrics: DataFrame, scratch: Scratch) -> DataFrame:
-    """lang, source and the accepted range of each metric, from one small shuffle of bucket counts."""
+def thresholds(metrics: DataFrame, scratch: Scratch, slack: bool = False) -> DataFrame:
+    """lang, source and the accepted range of each metric, from one small shuffle of bucket counts; with slack, as SQL has it."""
     rows = metrics.where(F.col("n_words") >= MIN_WORDS).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in _metrics().items()])).alias("m"))
     sketch = rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), _bucket(F.col("m.value")).alias("bucket")).agg(F.count("*").alias("n"))
     group = Window.partitionBy("lang", "source", "metric")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     q = ranked.groupBy("lang", "source", "metric").agg(
         F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bucket"))).alias("q1"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bucket"))).alias("q2"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("q3"),
     )
-    fences = q.select("lang", "source", "metric", (F.col("q1") - FENCE * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).alias("hi"))
-    wide = fences.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("metric") == k, F.least("lo", F.lit(lo)))).alias(f"{k}_lo") for k, (lo, _) in SLACK.items()], *[F.max(F.when(F.col("metric") == k, F.greatest("hi", F.lit(hi)))).alias(f"{k}_hi") for k, (_, hi) in SLACK.items()])
+    spread = F.col("q3") - F.col("q1")
+    if not slack:
+        spread = F.greatest(spread, F.when(F.col("metric") == "len", F.expr("q2 div 8")).when(F.col("metric") == "sym", LEAST).otherwise(0))
+    fences = q.select("lang", "source", "metric", (F.col("q1") - FENCE * spread).alias("lo"), (F.col("q3") + FENCE * spread).alias("hi"))
+    low = {k: F.least("lo", F.lit(lo)) if slack or k != "len" else F.col("lo") for k, (lo, _) in SLACK.items()}
+    high = {k: F.greatest("hi", F.lit(hi)) if slack or k == "dup" else F.col("hi") for k, (_, hi) in SLACK.items()}
+    wide = fences.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("metric") == k, v)).alias(f"{k}_{end}") for end, by in (("lo", low), ("hi", high)) for k, v in by.items()])
     return scratch.write(wide, "thresholds")
 
 
@@ -105,7 +115,7 @@ def _within(prefix: str = "") -> Column:
     return ok
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, slack: bool = False) -> DataFrame:
     """One row per row of docs: the base counts, base_failed and kept.
 
     The thresholds table has one row per language and source; it is read back
@@ -113,7 +123,7 @@ def judge(docs: DataFrame) -> DataFrame:
     threshold and otherwise splits a hot source's partition.
     """
     metrics = measured(docs)
-    limits = thresholds(metrics, Scratch(docs.sparkSession))
+    limits = thresholds(metrics, Scratch(docs.sparkSession), slack)
     joined = metrics.join(limits, metrics["lang"].eqNullSafe(limits["t_lang"]) & metrics["source"].eqNullSafe(limits["t_source"]), "left")
     return joined.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & _within())
 
@@ -129,7 +139,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    return judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(read(spark, sf_dir, "documents"), slack=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 SQL = r"""

@@ -77,6 +77,18 @@ def test_quality(docs, rows, empty):
     assert quality.judge(empty).count() == quality.keep_good(empty).count() == 0
 
 
+def test_quality_fences_decide(spark):
+    """A document far from its own group fails, though within SLACK; a uniform group and another group's habits do not."""
+    rng = random.Random(4)
+    text = lambda n, least, signs=0: " ".join(["#" * (i < signs) + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(least, least + 4))) for i in range(n)])
+    found = [(i, text(120, 3), "prose") for i in range(40)] + [(100, text(120, 6), "prose"), (101, text(120, 3, 60), "prose"), (102, text(120, 1), "prose")]
+    found += [(200 + i, text(120, 6, 60), "code") for i in range(40)] + [(300 + i, found[0][1], "same") for i in range(5)]
+    docs = spark.createDataFrame(found, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang")
+    assert {r.doc_id for r in quality.judge(docs).where("NOT kept").collect()} == {100, 101, 102}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, *_ in found} - {100, 101, 102}
+    assert quality.judge(docs, slack=True).where("NOT kept").count() == 0
+
+
 def test_line_templates(spark, docs, rows, empty):
     seen, lines = {}, {}
     for i, t in dict.fromkeys(rows):
