@@ -10,7 +10,10 @@ field belong to it; any other line's template is the line itself, with digits ma
 
 A template that occurs in two documents or more is dropped from all of them but
 for its first occurrence (by doc_id, then line). Lines of fewer than MIN_FIELDS
-fields are never dropped: short clean lines coincide by chance.
+fields coincide by chance: the query never drops them, as its SQL has it. In the
+pipeline (drop_templates) those with a letter are compared as they are, digits
+included, and dropped where LONG bytes or more recur in two documents, fewer in
+SHORT_DOCS documents and one of SHORT_SHARE at least.
 
 Distribution: one scan makes a table of line hashes (no text); copies of a line
 are counted before any shuffle. Fields are looked at only in leaves with
@@ -32,6 +35,11 @@ from .common import Scratch, broadcast_if_small, read
 
 DEPTH = 2
 MIN_FIELDS = 5
+#: Bytes from which a line of few fields (no spaces, tabs) counts as long.
+LONG = 40
+#: Documents that hold a shorter line before it is dropped: at least so many, and one of so many.
+SHORT_DOCS, SHORT_SHARE = 10, 1000
+LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 #: Constant positions of a leaf's template, of ten.
 SIMILAR = 7
 #: Rows of the leaf tables broadcast at most (about 16 bytes each); beyond it the joins shuffle.
@@ -39,21 +47,31 @@ BROADCAST_ROWS = 500_000
 MASK = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, rk (hash of doc_id and text), k (line number), line (masked), n (fields), leaf, lh."""
+def _lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, rk (hash of doc_id and text), k (line number), line (masked), n (fields), leaf, lh; whole: also lines of few fields, unmasked, each a leaf, with n = 0 if long and -1 if short."""
     text = F.col("text")
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, MASK, "<*>")).otherwise(text)
-    rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.posexplode_outer(F.split(masked, "\n")).alias("k", "line"))  # outer: no filter that would split again
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    rows = rows.withColumn("n", n).where(F.col("n") >= MIN_FIELDS)
-    return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH))).withColumn("lh", F.xxhash64("line"))
-
-
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, rk and the numbers of the lines to drop, for documents that have any."""
+    parts = F.split(masked, "\n")
+    if whole:
+        parts = F.arrays_zip(parts.alias("m"), F.split(text, "\n").alias("r"))
+    rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.posexplode_outer(parts).alias("k", "line"))  # outer: no filter that would split again
+    line = F.col("line")["m"] if whole else F.col("line")
+    n, lead = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1, F.substring_index("line", " ", DEPTH)
+    if whole:
+        own = F.col("line")["r"]
+        few = F.when(own.rlike(LETTER), F.when(F.octet_length(own) >= LONG, 0).otherwise(-1))
+        rows = rows.withColumn("n", F.when(n >= MIN_FIELDS, n).otherwise(few)).where(F.col("n").isNotNull()).withColumn("line", F.when(F.col("n") > 0, line).otherwise(own))
+        lead = F.when(F.col("n") > 0, lead).otherwise(F.col("line"))
+    else:
+        rows = rows.withColumn("n", n).where(F.col("n") >= MIN_FIELDS)
+    return rows.withColumn("leaf", F.xxhash64("n", lead)).withColumn("lh", F.xxhash64("line"))
+
+
+def dropped_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, rk and the numbers of the lines to drop, for documents that have any; whole: also lines of few fields."""
     scratch = Scratch(docs.sparkSession)
-    lines = _lines(docs)
-    table = scratch.write(lines.select("doc_id", "rk", "k", "leaf", "lh"), "lines")
+    lines = _lines(docs, whole)
+    table = scratch.write(lines.select("doc_id", "rk", "k", "leaf", "lh", *["n"] * whole), "lines")
     kinds = scratch.write(table.groupBy("leaf", "lh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "k")).alias("first"), F.min("rk").alias("lo"), F.max("rk").alias("hi")), "kinds")
     leaves = scratch.write(kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("c").alias("c")).where("kinds > 1").select("leaf", "c"), "leaves")
     fields = lines.select("leaf", "lh", "n", "line").join(broadcast_if_small(leaves, BROADCAST_ROWS), "leaf").select("leaf", "lh", "n", "c", F.transform(F.split("line", " "), lambda x: F.hash(x)).alias("f"))
@@ -64,14 +82,18 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     members = fields.join(broadcast_if_small(trees, BROADCAST_ROWS // 10), "leaf").where(F.forall("constant", lambda x: F.get("f", x["at"]) == x["f"])).select("leaf", "lh").distinct().withColumn("general", F.lit(True))
     keyed = scratch.write(kinds.join(members, ["leaf", "lh"], "left").withColumn("key", F.when(F.col("general"), 0).otherwise(F.col("lh"))).withColumn("general", F.coalesce("general", F.lit(False))), "keyed")
     recurring = keyed.groupBy("leaf", "general", "key").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("leaf", "general", "key", "first")
+    if whole:
+        least = max(SHORT_DOCS, -(-docs.count() // SHORT_SHARE))
+        rare = table.where("n = -1").select("leaf", "rk").distinct().groupBy("leaf").count().where(F.col("count") < least).select("leaf")
+        recurring = recurring.join(rare, "leaf", "left_anti")
     out = keyed.select("leaf", "lh", "general", "key").join(recurring, ["leaf", "general", "key"]).select("leaf", "lh", "first")
     gone = table.join(out, ["leaf", "lh"]).where(~F.struct("doc_id", "rk", "k").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "rk").agg(F.collect_list("k").alias("gone"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, whole: bool = False) -> DataFrame:
     """docs with text less the dropped lines, and __l_lines and __l_gone (how many lines there were and went)."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("__l_id"), F.col("rk").alias("__l_rk"), F.col("gone").alias("__l_which"))
+    gone = dropped_lines(docs, whole).select(F.col("doc_id").alias("__l_id"), F.col("rk").alias("__l_rk"), F.col("gone").alias("__l_which"))
     own = docs.withColumn("__l_own", F.xxhash64("doc_id", "text"))
     joined = own.join(gone, docs["doc_id"].eqNullSafe(gone["__l_id"]) & (own["__l_own"] == gone["__l_rk"]), "left")
     parts = F.split(docs["text"], "\n")
@@ -83,7 +105,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def drop_templates(docs: DataFrame) -> DataFrame:
     """docs without recurring lines; a document that loses all its words goes."""
-    d = deduplicated(docs)
+    d = deduplicated(docs, whole=True)
     return d.where((F.col("__l_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 

@@ -123,6 +123,16 @@ def test_line_templates(spark, docs, rows, empty):
     assert line_templates.deduplicated(empty).count() == 0
 
 
+def test_line_templates_drops_common_short_lines(spark):
+    """Lines of few fields go where they recur in many documents, long ones in two; others stay, also with other digits."""
+    cjk, row = "".join(chr(0x4E00 + i) for i in range(15)), "alpha\tbeta\tgamma\tdelta\tepsilon\tzeta\teta\ttheta"
+    found = [(i, "\n".join([f"own{i}", *["All rights reserved."] * 2, "", "}", f"Page {i}", *["Rare words."] * (i < 9), *[cjk, row] * (i < 2)])) for i in range(12)]
+    docs = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    want = [(i, "\n".join([f"own{i}", *["All rights reserved."] * (i == 0), "", "}", f"Page {i}", *["Rare words."] * (i < 9), *[cjk, row] * (i < 1)])) for i in range(12)]
+    assert sorted(tuple(r) for r in line_templates.drop_templates(docs).collect()) == want
+    assert {r.text for r in line_templates.deduplicated(docs).collect()} == {t for _, t in found}
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_minhash(docs, rows, empty, k):
     sets = []
