@@ -1,10 +1,10 @@
 """License scans: ordered signature rules.
 
 A text becomes its lower-cased words joined by single spaces. A gate of a few
-words passes few texts on; of those, each license whose keyword occurs runs its
-forms, a few hundred regular expressions in all, one per license and form. Every
-match is an interval with a priority (0 exact identifier, 1 grant sentence,
-2 bare name). Matches are sorted by start, longest first; one that lies inside
+words passes few texts on; of those, each license one of whose keywords occurs runs
+its rules, a few hundred regular expressions in all: FORMS around its name or
+identifier, and phrases of its body. Every match is an interval with a priority
+(0 exact identifier, 1 grant sentence or body, 2 bare name). Matches are sorted by start, longest first; one that lies inside
 an earlier match of the same or a better priority is suppressed, in one pass.
 
 Everything happens inside a row: no shuffle, no join.
@@ -75,22 +75,101 @@ LICENSES = {
     "public-domain": ("public domain", r"public domain"),
     "proprietary": ("rights reserved", r"all rights reserved"),
 }
-#: (priority, score, form around a license's name). Fixed values.
+_LATER = r"(?: only| or later)?"
+#: label: (keywords of which one must occur, identifiers in normalised words: SPDX's and common short ones). Fixed values.
+IDS = {
+    "mit": (["mit"], r"mit(?: 0)?"),
+    "x11": (["x11"], r"x11"),
+    "apache": (["apache", "asl"], r"(?:apache|asl)(?: version)? ?v?(?:1 [01]|2(?: 0)?)"),
+    "gpl": (["gpl"], r"(?:gnu )?gpl(?:(?: version)? ?v?[123](?: 0)?)?" + _LATER),
+    "lgpl": (["lgpl"], r"(?:gnu )?lgpl(?:(?: version)? ?v?[23](?: [01])?)?" + _LATER),
+    "agpl": (["agpl"], r"(?:gnu )?agpl(?:(?: version)? ?v?[13](?: 0)?)?" + _LATER),
+    "gfdl": (["fdl"], r"(?:gnu )?g?fdl(?: ?v?1 [123])?" + _LATER),
+    "bsd-2": (["bsd"], r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)"),
+    "bsd-3": (["bsd"], r"(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)"),
+    "bsd-4": (["bsd"], r"(?:original bsd|bsd 4 clause|4 clause bsd)"),
+    "bsd": (["bsd"], r"bsd(?! [234] clause)"),
+    "0bsd": (["0bsd", "zero clause"], r"(?:0bsd|zero clause bsd)"),
+    "isc": (["isc"], r"isc"),
+    "mpl": (["mpl"], r"mpl(?: ?v?[12](?: [01])?)?"),
+    "epl": (["epl"], r"epl(?: ?v?[12](?: 0)?)?"),
+    "edl": (["edl"], r"edl(?: ?v?1(?: 0)?)?"),
+    "cddl": (["cddl"], r"cddl(?: ?v?1(?: [01])?)?"),
+    "cpl": (["cpl"], r"cpl(?: ?v?1(?: 0)?)?"),
+    "eupl": (["eupl"], r"eupl(?: ?v?1 [012])?"),
+    "bsl": (["bsl", "boost"], r"(?:bsl 1 0|boost)"),
+    "busl": (["busl", "bsl"], r"(?:busl(?: 1 1)?|bsl 1 1)"),
+    "sspl": (["sspl"], r"sspl(?: ?v?1(?: 0)?)?"),
+    "zlib": (["zlib"], r"zlib"),
+    "libpng": (["libpng"], r"libpng(?: 2 0)?"),
+    "artistic": (["artistic"], r"artistic [12] 0(?: perl| cl8)?"),
+    "wtfpl": (["wtfpl"], r"wtfpl"),
+    "unlicense": (["unlicense"], r"unlicense"),
+    "ofl": (["ofl"], r"(?:sil )?ofl(?: ?v?1 [01])?"),
+    "odbl": (["odbl"], r"odbl(?: 1 0)?"),
+    "odc-by": (["odc by"], r"odc by(?: 1 0)?"),
+    "psf": (["psf", "python 2 0"], r"(?:psf(?: 2 0)?|python 2 0(?: 1)?)"),
+    "php": (["php 3"], r"php 3 01?"),
+    "ruby": (["ruby"], r"ruby"),
+    "openssl": (["openssl"], r"openssl"),
+    "postgresql": (["postgresql"], r"postgresql"),
+    "vim": (["vim"], r"vim"),
+    "ms-pl": (["ms pl"], r"ms pl"),
+    "ms-rl": (["ms rl"], r"ms rl"),
+    "qpl": (["qpl"], r"qpl(?: 1 0)?"),
+}
+#: Licenses whose identifiers count on their own, too. Fixed values.
+ALONE = ("apache", "gpl", "lgpl", "agpl", "bsd-2", "bsd-3", "bsd-4", "0bsd")
+_GNU = r"you (?:can|may) redistribute it and or modify it under the terms of (?:version [123](?: [01])? of )?the gnu "
+#: label: (keyword, phrase of the license's body or usual notice). Fixed values.
+BODIES = {
+    "mit": ("person obtaining a copy", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation(?: files)?"),
+    "bsl": ("person or organization obtaining", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    "isc": ("with or without fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    "0bsd": ("with or without fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    "bsd": ("redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    "bsd-3": ("endorse or promote", r"neither the names? of (?:\w+ ){1,20}?(?:nor the names of (?:its|other|any) (?:\w+ ){0,3}?contributors )?may be used to endorse or promote products"),
+    "bsd-4": ("advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    "apache": ("on an as is basis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    "gpl": ("redistribute it", _GNU + r"general public license"),
+    "lgpl": ("redistribute it", _GNU + r"(?:lesser|library) general public license"),
+    "agpl": ("redistribute it", _GNU + r"affero general public license"),
+    "mpl": ("source code form", r"this source code form is subject to the terms of the mozilla public license"),
+    "epl": ("eclipse public", r"made available under the terms of the eclipse public license"),
+    "zlib": ("will the authors be held", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    "unlicense": ("unencumbered", r"this is free and unencumbered software released into the public domain"),
+    "cc0": ("dedicated the work", r"associated a work with this deed has dedicated the work to the public domain"),
+    "ofl": ("licensed fonts", r"the ofl allows the licensed fonts to be used studied modified and redistributed freely"),
+}
+#: (priority, score, form around a license's name or identifier). Fixed values.
 FORMS = [
     (0, 1.0, r"spdx license identifier {name}"),
-    (1, 0.95, r"(?:is |are )?licensed under(?: the terms of)?(?: the| a| an)? {name}"),
+    (1, 0.95, r"(?:is |are )?(?:dual )?licen[cs]ed under(?: the terms of)?(?: the| a| an)? {name}"),
     (1, 0.95, r"(?:is |are )?(?:released|published|provided|available|made available) under(?: the terms of)?(?: the| a| an)? {name}"),
     (1, 0.95, r"(?:re)?distributed under(?: the terms of)?(?: the| a| an)? {name}"),
     (1, 0.9, r"(?:subject to|governed by|covered by)(?: the terms of)?(?: the| a| an)? {name}"),
-    (1, 0.9, r"dedicated to the {name}"),
-    (2, 0.6, r"{name}"),
 ]
-#: A text without any of these has no match: each name or form holds one.
-GATE = ["licen", "reserved", "domain", "cc0", "spdx", "cc"]
+#: (priority, score, form) around a name alone.
+NAME_FORMS = [(1, 0.9, r"dedicated to the {name}"), (2, 0.6, r"{name}")]
+#: A text without any of these has no match: each name, form, identifier that counts alone or body holds one.
+GATE = ["licen", "reserved", "domain", "cc0", "spdx", "cc", "released", "published", "provided", "available", "distribut", "subject", "governed", "covered", "hereby", "endorse", "advertising", "liable", "gpl", "apache", "asl", "bsd"]
+
+
+def signatures() -> list[tuple[str, list[str], list[tuple[int, float, str]]]]:
+    """label, keywords and rules of every license."""
 
+    def rules(label: str, name: str) -> list[tuple[int, float, str]]:
+        every, bare = f"(?:{name})", f"(?:{name})"
+        if label in IDS:
+            own = f"(?:{IDS[label][1]})"
+            every = f"(?:{name}|{own}(?: licen[cs]e)?)"
+            bare = f"(?:{name}|{own}{'(?: licen[cs]e)?' if label in ALONE else ' licen[cs]e'})"
+        found = [(p, s, form.replace("{name}", every)) for p, s, form in FORMS] + [(p, s, form.replace("{name}", bare)) for p, s, form in NAME_FORMS]
+        found += [(1, 0.9, BODIES[label][1])] if label in BODIES else []
+        return [(p, s, rf"\b{r}\b") for p, s, r in found]
 
-def signatures() -> list[tuple[str, str, list[tuple[int, float, str]]]]:
-    return [(label, key, [(p, s, r"\b" + form.replace("{name}", f"(?:{name})") + r"\b") for p, s, form in FORMS]) for label, (key, name) in LICENSES.items()]
+    keys = lambda label, key: list(dict.fromkeys([key, *(["library general"] if label == "lgpl" else []), *(["berkeley"] if label == "bsd" else []), *(["zero clause"] if label == "0bsd" else []), *(IDS[label][0] if label in IDS else []), *([BODIES[label][0]] if label in BODIES else []), *(["creative commons zero"] if label == "cc0" else [])]))
+    return [(label, keys(label, key), rules(label, name)) for label, (key, name) in LICENSES.items()]
 
 
 def _intervals(text: Column, pattern: Column) -> Column:
@@ -111,8 +190,8 @@ def _intervals(text: Column, pattern: Column) -> Column:
 
 def _matches(text: Column) -> Column:
     """Kept matches of one normalised text, sorted by start: s, ne (end, negated), priority, label, score."""
-    rules = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(key).alias("key"), F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(s).alias("score"), F.lit(r).alias("regex")) for p, s, r in forms]).alias("forms")) for label, key, forms in signatures()])
-    hits = F.flatten(F.transform(F.filter(rules, lambda r: F.contains(text, r["key"])), lambda r: F.flatten(F.transform(r["forms"], lambda f: F.transform(_intervals(text, f["regex"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), f["priority"].alias("priority"), r["label"].alias("label"), f["score"].alias("score")))))))
+    rules = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, keys)).alias("keys"), F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(s).alias("score"), F.lit(r).alias("regex")) for p, s, r in forms]).alias("forms")) for label, keys, forms in signatures()])
+    hits = F.flatten(F.transform(F.filter(rules, lambda r: F.exists(r["keys"], lambda k: F.contains(text, k))), lambda r: F.flatten(F.transform(r["forms"], lambda f: F.transform(_intervals(text, f["regex"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), f["priority"].alias("priority"), r["label"].alias("label"), f["score"].alias("score")))))))
     zero = F.struct(F.lit(-1).alias("m0"), F.lit(-1).alias("m1"), F.lit(-1).alias("m2"), F.array().cast("array<struct<s:int,ne:int,priority:int,label:string,score:double>>").alias("kept"))
 
     def step(a: Column, x: Column) -> Column:

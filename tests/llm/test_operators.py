@@ -366,3 +366,22 @@ def test_licenses(docs, rows, empty):
     assert ordered(got) == ordered(want)
     assert any(x[3] for x in want)
     assert licenses.scan(empty).count() == 0
+
+
+def test_licenses_of_real_notices(spark):
+    """Identifiers, short grants and bodies get their license; words that only look like one do not."""
+    found = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache", "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl", "SPDX-License-Identifier: MPL-2.0": "mpl", "SPDX-License-Identifier: ISC": "isc",
+        "Licensed under Apache 2.0.": "apache", "Released under the GPLv3": "gpl", "It is distributed under MIT.": "mit", "covered by the 2-clause BSD license": "bsd-2", "GNU Library General Public License": "gpl,lgpl", "under the Berkeley License": "bsd", "Creative Commons Zero license": "cc0", "see the LGPLv3": "lgpl",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice": "isc",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib",
+        "wir fahren mit dem Zug, licensed drivers": "", "ruby and vim are available": "", "the boost was provided": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    got = {r.doc_id: ",".join(sorted({x.label for x in r.matches} | {x.label for x in r.places})) for r in licenses.scan(docs).collect()}
+    assert got == dict(enumerate(found.values()))
+    low_of = {i: " ".join(LETTER.findall(low(t))) for i, t in enumerate(found)}
+    assert all(any(k in t for k in keys) and any(g in t for g in licenses.GATE) for t in low_of.values() for _, keys, forms in licenses.signatures() for *_, r in forms if re.search(r, t))
