@@ -4,10 +4,10 @@ Each document gets integer metrics. For every language and source a
 sketch (a histogram whose buckets keep the six leading bits of a value, so
 its relative error is at most 1/32 and two sketches merge by adding counts)
 yields the quartiles of every metric. A document fails where a metric lies
-beyond Tukey's outer fence of its own language and source. So that a uniform,
-clean source rejects nothing, the spread counts as an eighth of the group's median
-(mean length) or LEAST (symbols) at least; only duplicate lines keep a fixed slack.
-The query's rows are those of SQL, which widens each fence by SLACK instead.
+beyond Tukey's outer fence of its own language and source, FENCE times the
+quartiles' distance beyond them. No cutoff is fixed: only so that a uniform, clean source rejects
+nothing does that distance count as an eighth of the group's median (mean
+word length) or LEAST (symbols, duplicate lines) at least.
 
 Defined results: a null or empty text has no words and fails the base rule;
 null languages and sources form groups of their own; repeated rows are judged
@@ -24,11 +24,9 @@ from .common import SPACE_CHARS, Scratch, let, space_words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: metric: (slack below, slack above); a value within the slack never fails in the query, and for duplicate lines anywhere.
-SLACK = {"len": (200, 1500), "sym": (-1, 1500), "dup": (-1, 300)}
 FENCE = 3
-#: Symbols per 1000 words that the quartiles' distance counts as at least.
-LEAST = 50
+#: What the quartiles' distance counts as at least: symbols per 1000 words, duplicate lines per 1000.
+LEAST = {"sym": 50, "dup": 100}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -82,24 +80,18 @@ def _bucket(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, low), low)
 
 
-def thresholds(metrics: DataFrame, scratch: Scratch, slack: bool = False) -> DataFrame:
-    """lang, source and the accepted range of each metric, from one small shuffle of bucket counts; with slack, as SQL has it."""
+def thresholds(metrics: DataFrame, scratch: Scratch) -> DataFrame:
+    """lang, source and the accepted range of each metric, from one small shuffle of bucket counts."""
     rows = metrics.where(F.col("n_words") >= MIN_WORDS).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in _metrics().items()])).alias("m"))
     sketch = rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), _bucket(F.col("m.value")).alias("bucket")).agg(F.count("*").alias("n"))
     group = Window.partitionBy("lang", "source", "metric")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
-    q = ranked.groupBy("lang", "source", "metric").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bucket"))).alias("q2"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("q3"),
-    )
-    spread = F.col("q3") - F.col("q1")
-    if not slack:
-        spread = F.greatest(spread, F.when(F.col("metric") == "len", F.expr("q2 div 8")).when(F.col("metric") == "sym", LEAST).otherwise(0))
-    fences = q.select("lang", "source", "metric", (F.col("q1") - FENCE * spread).alias("lo"), (F.col("q3") + FENCE * spread).alias("hi"))
-    low = {k: F.least("lo", F.lit(lo)) if slack or k != "len" else F.col("lo") for k, (lo, _) in SLACK.items()}
-    high = {k: F.greatest("hi", F.lit(hi)) if slack or k == "dup" else F.col("hi") for k, (_, hi) in SLACK.items()}
-    wide = fences.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("metric") == k, v)).alias(f"{k}_{end}") for end, by in (("lo", low), ("hi", high)) for k, v in by.items()])
+    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("all") * quarter, F.col("bucket"))).alias(f"q{quarter}")
+    q = ranked.groupBy("lang", "source", "metric").agg(at(1), at(2), at(3))
+    least = F.coalesce(*[F.when(F.col("metric") == k, v) for k, v in LEAST.items()], F.expr("q2 div 8"))
+    spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), least)
+    fences = q.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "metric", (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
+    wide = fences.groupBy("t_lang", "t_source").agg(*[F.max(F.when(F.col("metric") == k, F.col(end))).alias(f"{k}_{end}") for end in ("lo", "hi") for k in _metrics()])
     return scratch.write(wide, "thresholds")
 
 
@@ -115,15 +107,17 @@ def _within(prefix: str = "") -> Column:
     return ok
 
 
-def judge(docs: DataFrame, slack: bool = False) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """One row per row of docs: the base counts, base_failed and kept.
 
-    The thresholds table has one row per language and source; it is read back
+    The counts are written once (no text), so texts are split once. The thresholds
+    table has one row per language and source; it is read back
     from the scratch folder, so Spark broadcasts it only below the session's
     threshold and otherwise splits a hot source's partition.
     """
-    metrics = measured(docs)
-    limits = thresholds(metrics, Scratch(docs.sparkSession), slack)
+    scratch = Scratch(docs.sparkSession)
+    metrics = scratch.write(measured(docs), "measures")
+    limits = thresholds(metrics, scratch)
     joined = metrics.join(limits, metrics["lang"].eqNullSafe(limits["t_lang"]) & metrics["source"].eqNullSafe(limits["t_source"]), "left")
     return joined.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & _within())
 
@@ -139,7 +133,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    return judge(read(spark, sf_dir, "documents"), slack=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 SQL = r"""
@@ -155,8 +149,8 @@ m AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(reg
 v AS (SELECT rid, lang, source, n_words, unnest([{'k': 'len', 'v': (100 * word_chars) // greatest(n_words, 1)}, {'k': 'sym', 'v': (1000 * n_symbols) // greatest(n_words, 1)}, {'k': 'dup', 'v': (1000 * n_dup_lines) // greatest(n_lines, 1)}]) AS kv FROM m),
 b AS (SELECT lang, source, kv.k AS k, (kv.v >> greatest(length(bin(kv.v)) - 6, 0)::BIGINT) << greatest(length(bin(kv.v)) - 6, 0)::BIGINT AS b, count(*) AS n FROM v WHERE n_words >= 50 GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, k ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, k) AS total FROM b),
-q AS (SELECT lang, source, k, min(b) FILTER (upto * 4 >= total) AS q1, min(b) FILTER (upto * 4 >= total * 3) AS q3 FROM c GROUP BY ALL),
-f AS (SELECT lang, source, k, least(q1 - 3 * (q3 - q1), CASE k WHEN 'len' THEN 200 ELSE -1 END) AS lo, greatest(q3 + 3 * (q3 - q1), CASE k WHEN 'dup' THEN 300 ELSE 1500 END) AS hi FROM q),
+q AS (SELECT lang, source, k, min(b) FILTER (upto * 4 >= total) AS q1, min(b) FILTER (upto * 2 >= total) AS q2, min(b) FILTER (upto * 4 >= total * 3) AS q3 FROM c GROUP BY ALL),
+f AS (SELECT lang, source, k, q1 - 3 * greatest(q3 - q1, least) AS lo, q3 + 3 * greatest(q3 - q1, least) AS hi FROM (SELECT *, CASE k WHEN 'sym' THEN 50 WHEN 'dup' THEN 100 ELSE q2 // 8 END AS least FROM q)),
 bad AS (SELECT DISTINCT v.rid FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.kv.k = f.k WHERE v.kv.v NOT BETWEEN f.lo AND f.hi)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND rid NOT IN (SELECT rid FROM bad) AS kept FROM m

@@ -58,8 +58,27 @@ def ordered(found):
     return sorted(found, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def bucket(v):
+    low = max(v.bit_length() - 6, 0)
+    return v >> low << low
+
+
+def quality_verdicts(found):
+    """Brute force of kept for (group, words, symbols, lines with words, duplicate lines, word characters, base_failed) rows."""
+    metrics = [{"len": 100 * chars // max(n, 1), "sym": 1000 * sym // max(n, 1), "dup": 1000 * dup // max(lines, 1)} for _, n, sym, lines, dup, chars, _ in found]
+    ranges = {}
+    for group in {r[0] for r in found}:
+        for k in ("len", "sym", "dup"):
+            own = sorted(bucket(m[k]) for r, m in zip(found, metrics, strict=True) if r[0] == group and r[1] >= 50)
+            if own:
+                q1, q2, q3 = (own[-(-len(own) * j // 4) - 1] for j in (1, 2, 3))
+                wide = 3 * max(q3 - q1, {"len": q2 // 8, "sym": 50, "dup": 100}[k])
+                ranges[group, k] = q1 - wide, q3 + wide
+    return [not r[6] and all(ranges[r[0], k][0] <= v <= ranges[r[0], k][1] for k, v in m.items()) for r, m in zip(found, metrics, strict=True)]
+
+
 def test_quality(docs, rows, empty):
-    want = []
+    want, inputs = [], []
     for i, t in rows:
         t = t or ""
         w = SPACE.findall(t)
@@ -69,8 +88,10 @@ def test_quality(docs, rows, empty):
         hit = {k + d for at in grams.values() if len(at) > 1 for k in at for d in range(3)}
         lines = [x for x in t.split("\n") if SPACE.search(x)]
         want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)))
+        inputs.append(((None if (i or 0) % 5 == 0 else "en", None if i == 3 else "s"), want[-1][1], want[-1][3], len(lines), want[-1][4], want[-1][2], want[-1][6]))
+    want = [(*r, kept) for r, kept in zip(want, quality_verdicts(inputs), strict=True)]
     judged = quality.judge(docs)
-    got = [tuple(r) for r in judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()]
+    got = [tuple(r) for r in judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()]
     assert ordered(got) == ordered(want)
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == judged.where("kept").count() > 0
@@ -78,15 +99,19 @@ def test_quality(docs, rows, empty):
 
 
 def test_quality_fences_decide(spark):
-    """A document far from its own group fails, though within SLACK; a uniform group and another group's habits do not."""
+    """A document far from its own group fails; a uniform group and another group's habits do not. No fixed cutoff gives the same verdicts."""
     rng = random.Random(4)
-    text = lambda n, least, signs=0: " ".join(["#" * (i < signs) + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(least, least + 4))) for i in range(n)])
-    found = [(i, text(120, 3), "prose") for i in range(40)] + [(100, text(120, 6), "prose"), (101, text(120, 3, 60), "prose"), (102, text(120, 1), "prose")]
-    found += [(200 + i, text(120, 6, 60), "code") for i in range(40)] + [(300 + i, found[0][1], "same") for i in range(5)]
+    text = lambda n, least, signs=0, lines=0: "\n".join([" ".join(["#" * (i < signs) + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(least, least + 4))) for i in range(n)])] + ["same line"] * lines)
+    found = [(i, text(120, 3), "prose") for i in range(40)] + [(100, text(120, 6), "prose"), (101, text(120, 3, 60), "prose"), (102, text(120, 1), "prose"), (103, text(120, 3, 0, 9), "prose")]
+    found += [(200 + i, text(120, 6, 90, 4 + i % 9), "code") for i in range(40)] + [(300 + i, found[0][1], "same") for i in range(5)]
     docs = spark.createDataFrame(found, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang")
-    assert {r.doc_id for r in quality.judge(docs).where("NOT kept").collect()} == {100, 101, 102}
-    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, *_ in found} - {100, 101, 102}
-    assert quality.judge(docs, slack=True).where("NOT kept").count() == 0
+    judged = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert {i for i, r in judged.items() if not r.kept} == {100, 101, 102, 103}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(judged) - {100, 101, 102, 103}
+    bounds = {(r.t_source): r for r in quality.thresholds(quality.measured(docs), quality.Scratch(spark)).collect()}
+    assert bounds["code"].sym_hi > bounds["prose"].sym_hi and bounds["code"].len_hi > bounds["prose"].len_hi and bounds["code"].dup_hi > bounds["prose"].dup_hi
+    share = lambda i, m: getattr(judged[i], m) / judged[i].n_words
+    assert all(any(share(bad, m) <= share(200 + i, m) for i in range(40)) for bad, m in ((100, "word_chars"), (101, "n_symbols"), (103, "n_dup_lines")))
 
 
 def test_line_templates(spark, docs, rows, empty):
