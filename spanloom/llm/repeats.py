@@ -56,13 +56,13 @@ BROADCAST_ROWS = 1_000_000
 #: Places told apart in one go; longer texts go in overlapping pieces.
 PIECE = 1 << 20
 #: Bytes of segments sorted into one run.
-RUN = 16 << 20
+RUN = 8 << 20
 #: Segments whose repeats are worked out at once (whole grams), and entries of a table of segments by distances.
-BATCH = 8_000
+BATCH = 4_000
 #: Occurrences from which a gram's segments are dealt out by more of their bytes, and the distances of one part.
-HOT = 20_000
+HOT = 2_000
 STEP = 32
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 _PLACES = np.uint64(PIECE - 1)
 
@@ -100,10 +100,17 @@ def segments(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield g[anchor[first]].view(np.int64), anchor[first] + at, first + at, last + at
 
 
+def sliced(batches: Iterator, rows: int = 500) -> Iterator:
+    """The batches in slices of so many rows, so that a worker's objects are bounded by a slice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _gram_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in sliced(batches):
         found = [s[0] for t in batch.column(0).to_pylist() if t and len(t) * 4 >= SPAN for s in segments(np.frombuffer(t.encode(), np.uint8))]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["g"])
 
@@ -111,23 +118,21 @@ def _gram_rows(batches: Iterator) -> Iterator:
 def _segment_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            rows: list[list] = [[], [], [], [], []]  # gram, document, place, anchor within the segment, bytes
-            for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if not t or len(t) * 4 < SPAN:
-                    continue
-                data = t.encode()
-                for g, anchor, first, last in segments(np.frombuffer(data, np.uint8)):
-                    for one, mid, a, z in zip(g.tolist(), anchor.tolist(), first.tolist(), last.tolist(), strict=True):
-                        rows[0].append(one)
-                        rows[1].append(rk)
-                        rows[2].append(a)
-                        rows[3].append(mid - a)
-                        rows[4].append(data[a : z + SPAN])
-            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in rows[4]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(digest, pa.binary()), pa.array(rows[4], pa.binary())], ["g", "rk", "at", "mid", "sd", "seg"])
+    for part in sliced(batches):
+        rows: list[list] = [[], [], [], [], []]  # gram, document, place, anchor within the segment, bytes
+        for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            if not t or len(t) * 4 < SPAN:
+                continue
+            data = t.encode()
+            for g, anchor, first, last in segments(np.frombuffer(data, np.uint8)):
+                for one, mid, a, z in zip(g.tolist(), anchor.tolist(), first.tolist(), last.tolist(), strict=True):
+                    rows[0].append(one)
+                    rows[1].append(rk)
+                    rows[2].append(a)
+                    rows[3].append(mid - a)
+                    rows[4].append(data[a : z + SPAN])
+        digest = [hashlib.blake2b(x, digest_size=16).digest() for x in rows[4]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(digest, pa.binary()), pa.array(rows[4], pa.binary())], ["g", "rk", "at", "mid", "sd", "seg"])
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -308,7 +313,7 @@ def _cut(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     spans_type = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-    for batch in batches:
+    for batch in sliced(batches):
         names = ["doc_id", "n_bytes", "n_removed", "kept", "spans"]
         size, gone, kept, spans = [], [], [], []
         for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
