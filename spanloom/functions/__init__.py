@@ -70,10 +70,50 @@ def errno_outcome(code: Column) -> Column:
     return F.when(code == 0, "success").when(code == 11, "would_block").when(code == 104, "connection_reset").when(code.isNotNull(), "error")
 
 
+def io_error_outcome(kind: Column, code: Column | None = None) -> Column:
+    """A failed call's error to a socket outcome: by its code where it has one, else by its kind's name. Fixed values."""
+    by_kind = F.when(kind == "WouldBlock", "would_block").when(kind == "ConnectionReset", "connection_reset").when(kind.isNotNull(), "error")
+    return by_kind if code is None else F.coalesce(errno_outcome(code), by_kind)
+
+
+def sockaddr_endpoint(raw: Column) -> Column:
+    """Address (16 bytes) and port of a Linux socket address as bytes.
+
+    Families 2 and 10 are IPv4 and IPv6 (fixed values); of another family, too short, or null: the unspecified address, port 0.
+    """
+    digits = F.hex(raw)
+    family = F.concat(F.substring(digits, 3, 2), F.substring(digits, 1, 2))  # little-endian
+    port = F.conv(F.substring(digits, 5, 4), 16, 10).cast("int")
+    four, six = (family == "0002") & (F.length(digits) >= 16), (family == "000A") & (F.length(digits) >= 48)
+    address = F.when(four, F.concat(F.lit("0" * 20 + "FFFF"), F.substring(digits, 9, 8))).when(six, F.substring(digits, 17, 32)).otherwise("0" * 32)
+    return F.struct(F.unhex(address).alias("address"), F.when(four | six, port).otherwise(0).alias("port"))
+
+
+def clock_ns(seconds: Column, nanos: Column) -> Column:
+    """A clock reading as nanoseconds."""
+    return seconds.cast("long") * 1_000_000_000 + nanos.cast("long")
+
+
+def stamped(rows: DataFrame, session_id: Column | None = None, connection_id: Column | None = None) -> DataFrame:
+    """Rows with the session and connection of the handle they came through; what is not given stays as it is."""
+    given = {"session_id": session_id, "connection_id": connection_id}
+    return rows.withColumns({c: v for c, v in given.items() if v is not None})
+
+
 def saturated(value: Column) -> Column:
     """An unsigned 64-bit value as a long; what does not fit is the largest long."""
     return F.coalesce(value.try_cast("long"), F.when(value.isNotNull(), F.lit(2**63 - 1)))
 
 
 def logical_id(group: Column, frame: Column) -> Column:
-    return F.concat_ws(":", group.cast("string"), frame.cast("string"))
+    """A logical id; structs compare by group, then frame."""
+    return F.struct(group.alias("group"), frame.alias("frame"))
+
+
+def logical_text(value: Column) -> Column:
+    return F.concat_ws(":", value["group"].cast("string"), value["frame"].cast("string"))
+
+
+def same(a: Column, b: Column) -> Column:
+    """Equality where null equals null."""
+    return a.eqNullSafe(b)

@@ -25,20 +25,45 @@ def range_overlap(left: DataFrame, right: DataFrame, keys: list[str], bucket: in
     return joined.withColumn("overlap", F.least("l_e", "r_e") - F.greatest("l_s", "r_s"))
 
 
-def as_of(rows: DataFrame, states: DataFrame, keys: list[str], at: str = "timestamp_ns", since: str = "timestamp_ns") -> DataFrame:
+def as_of(rows: DataFrame, states: DataFrame, keys: list[str], at: str = "timestamp_ns", since: str = "timestamp_ns", cell: int | None = None) -> DataFrame:
     """Each row with the state of its key that was last set at or before it; rows before the first state keep nulls.
 
     Both sides are sorted together once per key and the last state is carried
     forward, so there is no range join. Of states set in one instant the later-sorted one wins.
+    With cell each key's time is cut into cells of that width, so one busy key spreads over many tasks;
+    what holds at a cell's start is carried over from the cells before, one row per key and cell.
     """
     values = [c for c in states.columns if c not in keys and c != since]
-    a = rows.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(states.select(F.struct(F.col(since).alias("valid_from"), *values)).schema[0].dataType).alias("_state"))
-    b = states.select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(since).alias("valid_from"), *values).alias("_state"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind", "_state").rowsBetween(Window.unboundedPreceding, 0)
+    shape = F.struct(F.col(since).alias("valid_from"), *values)
+    a = rows.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(states.select(shape).schema[0].dataType).alias("_state"))
+    b = states.select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_kind"), shape.alias("_state"))
+    own = list(keys)
+    if cell is not None:
+        own.append("_cell")
+        place = F.expr(f"(_at - pmod(_at, {cell}L)) div {cell}L")
+        a, b = a.withColumn("_cell", place), b.withColumn("_cell", place)
+        last = b.groupBy(*own).agg(F.max(F.struct("_at", "_state")).alias("_last"))
+        cells = a.select(*own).distinct().join(last, own, "full")
+        held = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+        over = cells.withColumn("_held", held).where("_held IS NOT NULL").select(*own, (F.col("_cell") * cell).alias("_at"), F.lit(-1).alias("_kind"), F.col("_held._state").alias("_state"))
+        b = b.unionByName(over)
+    w = Window.partitionBy(*own).orderBy("_at", "_kind", "_state").rowsBetween(Window.unboundedPreceding, 0)
     out = a.unionByName(b, allowMissingColumns=True).withColumn("_state", F.last("_state", ignorenulls=True).over(w)).where("_kind = 1")
     return out.select(*rows.columns, "_state.*")
 
 
+def valid_paths(paths: DataFrame, keys: list[str], since: str = "timestamp_ns") -> DataFrame:
+    """Paths with valid_from and valid_to: each holds until its connection's next one."""
+    w = Window.partitionBy(*keys).orderBy(since)
+    return paths.withColumn("valid_to", F.lead(since).over(w)).withColumnRenamed(since, "valid_from")
+
+
+def address_join(paths: DataFrame, captured: DataFrame, endpoints: list[str], at: str = "timestamp_ns") -> DataFrame:
+    """Captured datagrams with the connection whose path had their endpoints at that instant."""
+    inside = (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
+    return captured.join(paths, endpoints).where(inside)
+
+
 def contained_time(outer: DataFrame, inner: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """outer (s, e) with the summed length of the inner intervals that lie inside it, and what remains."""
     i = inner.select(*keys, F.col("s").alias("is"), F.col("e").alias("ie"))

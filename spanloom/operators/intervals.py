@@ -37,6 +37,24 @@ def saturating_merge(rows: DataFrame, keys: list[str], slots: int) -> DataFrame:
     return rows.withColumn("slot", slot).groupBy(*keys, "slot").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("merged"))
 
 
+def innermost(scopes: DataFrame, points: DataFrame, keys: list[str], at: str, scope: str) -> DataFrame:
+    """Points with the id (column scope) of the innermost scope [s, e) that is open at their instant; points outside every scope are left out.
+
+    Scopes of one key (a thread) nest like calls; empty ones hold nothing. Scopes and points are sorted together once: a running
+    sum of starts and ends is the depth, and the scope last opened at a point's depth is the one it is in.
+    """
+    row = lambda when, kind, delta, length, own: F.struct(when.alias("_at"), F.lit(kind).alias("_kind"), F.lit(delta).alias("_delta"), length.alias("_length"), own.alias("_own"))
+    length, none = F.col("s") - F.col("e"), F.lit(None).cast(scopes.schema[scope].dataType)
+    edges = scopes.where("s < e").select(*keys, F.explode(F.array(row(F.col("s"), 1, 1, length, F.col(scope)), row(F.col("e"), 0, -1, length, none))).alias("x")).select(*keys, "x.*")
+    own = [c for c in points.columns if c not in keys]
+    inside = points.select(*keys, F.col(at).alias("_at"), F.lit(2).alias("_kind"), F.lit(0).alias("_delta"), F.lit(0).cast("long").alias("_length"), F.struct(*own).alias("_point"))
+    both = edges.unionByName(inside, allowMissingColumns=True)
+    order = lambda *by: Window.partitionBy(*by).orderBy("_at", "_kind", "_length").rowsBetween(Window.unboundedPreceding, 0)
+    deep = both.withColumn("_depth", F.sum("_delta").over(order(*keys)))
+    found = deep.where("_delta >= 0").withColumn(scope, F.last("_own", ignorenulls=True).over(order(*keys, "_depth")))
+    return found.where("_point IS NOT NULL AND _depth > 0").select(*keys, "_point.*", scope)
+
+
 def publish_pieces(steps: DataFrame, wakes: DataFrame, keys: list[str], slots: int = 4) -> DataFrame:
     """A step cut by its wakes: step, notify, step, ..., step; the last piece carries the step's outcome. Empty pieces stay."""
     merged = saturating_merge(wakes, keys, slots)
@@ -69,6 +87,43 @@ def notify_gaps(fanouts: DataFrame, excluded: DataFrame, keys: list[str], slots:
     return rows.withColumn("s", left).where(F.col("s") < F.col("cs")).select(*keys, "s", F.col("cs").alias("e"))
 
 
+def first_closes(fanouts: DataFrame, closes: DataFrame, excluded: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Fan-outs (s) with their end, the first close by report order (seq), and the exclusions reported before it; one that never began is never closed."""
+    first = closes.groupBy(*keys).agg(F.min_by("at", "seq").alias("e"), F.min("seq").alias("_closed"))
+    ended = fanouts.join(first, keys, "left").withColumn("e", F.when(F.col("s").isNotNull(), F.col("e")))
+    before = excluded.join(ended.select(*keys, "_closed"), keys).where(F.col("_closed").isNull() | (F.col("seq") < F.col("_closed"))).drop("_closed")
+    return ended.drop("_closed"), before
+
+
+def kept_exclusions(fanouts: DataFrame, excluded: DataFrame, keys: list[str], slots: int = 8) -> DataFrame:
+    """keys, s, e and the exclusions held for each fan-out, in order: two of equal columns are the same fan-out."""
+    span = fanouts.select(*keys, "s", "e")
+    x = excluded.withColumnsRenamed({"s": "xs", "e": "xe"}).join(span.where(F.col("s").isNotNull()), keys)
+    floor = F.greatest("s", F.max(F.when(F.col("xe") > F.col("xs"), F.col("xe"))).over(_before(keys, "seq")))
+    x = x.withColumn("cs", F.greatest("xs", floor)).where(F.col("xe") > F.col("cs"))
+    x = x.withColumn("slot", F.least(F.row_number().over(Window.partitionBy(*keys).orderBy("seq")), F.lit(slots)))
+    merged = x.groupBy(*keys, "slot").agg(F.min("cs").alias("cs"), F.max("xe").alias("xe"))
+    held = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "cs", "xe"))).alias("held"))
+    return span.join(held, keys, "left").withColumn("held", F.coalesce(F.transform("held", lambda h: F.struct(h["cs"].alias("s"), h["xe"].alias("e"))), F.array().cast("array<struct<s:bigint,e:bigint>>")))
+
+
+def notify_spans(gaps: DataFrame, inbound: DataFrame, keys: list[str]) -> DataFrame:
+    """Each gap as a notify span, a success, on the inbound object that fanned out; only on objects that record phases (column records)."""
+    own = inbound.where("records").drop("records")
+    spans = gaps.join(own, keys).withColumnsRenamed({"s": "start_ns", "e": "end_ns"})
+    return spans.withColumns({"phase": F.lit("notify"), "outcome": F.lit("success")})
+
+
+def copy_work(scopes: DataFrame, begins: DataFrame, ends: DataFrame, thread: list[str], scope: str, copy: str) -> DataFrame:
+    """What each copy's work excludes, and from which fan-out: the first start marked while a fan-out was active, to the end, from the fan-out active at the end.
+
+    begins: thread, copy, seq, called_ns, s; ends: thread, copy, e.
+    """
+    marked = innermost(scopes, begins, thread, "called_ns", scope)
+    first = marked.groupBy(*thread, copy).agg(F.min_by("s", "seq").alias("s"))
+    return innermost(scopes, ends.join(first, [*thread, copy]), thread, "e", scope)
+
+
 def union_length(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """Sum and union length of each key's intervals; overlaps count once in the union."""
     reach = F.max("e").over(_before(keys, "s", "e", tie))

@@ -10,10 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import functions as G
-from ..operators import correlate, intervals, pairing
+from ..operators import correlate, intervals, pairing, quantiles
 from ..schemas import ENUMS
 from ..sources.bridge import Bridge, duck_sql
 
@@ -96,19 +95,36 @@ def socket_stats_sum(b: Bridge) -> DataFrame:
 # --- pairing ----------------------------------------------------------------
 
 
-@query(f"SELECT *, end_ns - start_ns AS duration_ns, {_STATE} FROM ({_span_sql('object_phase', 'trace_id', 'phase')})")
-def span_pairing_object(b: Bridge) -> DataFrame:
+def _per_trace_sql(edges: str, spans: str) -> str:
+    """SQL for the spans of each trace as one text: the edges once, both halves joined."""
+    shown = "string_agg(span_id || ':' || phase || ':' || coalesce(start_ns::VARCHAR, '-') || ':' || coalesce(end_ns::VARCHAR, '-') || ':' || coalesce(outcome, '-') || ':' || state, ',' ORDER BY span_id) AS spans"
+    return f"SELECT * FROM (WITH edges AS MATERIALIZED ({edges}) SELECT process_key, trace_id, count(*) AS n_spans, CAST(sum(end_ns - start_ns) AS BIGINT) AS total_ns, {shown} FROM (SELECT *, {_STATE} FROM ({spans})) GROUP BY process_key, trace_id)"
+
+
+def _per_trace(spans: DataFrame) -> DataFrame:
+    """The spans of each trace: how many, their length in all, and every one of them as text."""
+    text = F.concat_ws(":", F.col("span_id").cast("string"), "phase", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("start_ns", "end_ns", "outcome")], "state")
+    every = F.transform(F.sort_array(F.collect_list(F.struct("span_id", text.alias("text")))), lambda x: x["text"])
+    return spans.groupBy(P, "trace_id").agg(F.count("*").alias("n_spans"), F.sum("duration_ns").alias("total_ns"), F.array_join(every, ",").alias("spans"))
+
+
+def _object_spans(b: Bridge) -> DataFrame:
     return pairing.spans(b.object_phase, ["trace_id", "phase"])
 
 
+@query(_per_trace_sql("SELECT * FROM {object_phase}", _span_sql("edges", "trace_id", "phase").replace("{edges}", "edges")))
+def span_pairing_object(b: Bridge) -> DataFrame:
+    return _per_trace(_object_spans(b))
+
+
 def _packet_edges(b: Bridge) -> DataFrame:
     rows = b.packet_span.select(P, "trace_id", "span_id", "phase", F.col("s").alias("start_ns"), F.col("e").alias("end_ns"), F.lit("success").alias("outcome"))
     return pairing.record_phase(rows).where((F.col("edge") == "start") | (F.col("span_id") % 131 != 0))
 
 
-@query(f"SELECT *, end_ns - start_ns AS duration_ns, {_STATE} FROM ({_span_sql('x', 'trace_id', 'phase')})".replace("{x}", f"({_PACKET_EDGES})"))
+@query(_per_trace_sql(_PACKET_EDGES, _span_sql("edges", "trace_id", "phase").replace("{edges}", "edges")))
 def span_pairing_packet(b: Bridge) -> DataFrame:
-    return pairing.spans(_packet_edges(b), ["trace_id", "phase"])
+    return _per_trace(pairing.spans(_packet_edges(b), ["trace_id", "phase"]))
 
 
 @query(f"SELECT process_key, span_id, start_ns, end_ns, connection_id, stream_id, reason, end_ns - start_ns AS duration_ns, {_STATE} FROM ({_span_sql('blocked', 'connection_id', 'stream_id', 'reason', outcome=False)})")
@@ -136,7 +152,7 @@ def socket_lifecycle(b: Bridge) -> DataFrame:
 
 @query("WITH l AS (SELECT 'object' AS kind, s.timestamp_ns AS a, e.timestamp_ns AS z FROM {object_start} s FULL JOIN {object_end} e ON s.trace_id = e.trace_id UNION ALL SELECT 'packet', s.timestamp_ns, e.timestamp_ns FROM {packet_start} s FULL JOIN {packet_end} e ON s.trace_id = e.trace_id UNION ALL SELECT 'socket', s.timestamp_ns, e.timestamp_ns FROM {socket_start} s FULL JOIN {socket_end} e ON s.trace_id = e.trace_id UNION ALL SELECT 'object_phase', s.timestamp_ns, e.timestamp_ns FROM (SELECT * FROM {object_phase} WHERE edge = 'start') s FULL JOIN (SELECT * FROM {object_phase} WHERE edge = 'done') e ON s.span_id = e.span_id) SELECT kind, CASE WHEN z IS NULL THEN 'open' WHEN a IS NULL THEN 'headless' WHEN z < a THEN 'negative' ELSE 'closed' END AS state, count(*) AS n FROM l GROUP BY ALL".replace("WITH l AS", "SELECT * FROM (WITH l AS") + ")")
 def unmatched_edges(b: Bridge) -> DataFrame:
-    kinds = {"object": object_lifecycle(b), "packet": packet_lifecycle(b), "socket": socket_lifecycle(b), "object_phase": span_pairing_object(b)}
+    kinds = {"object": object_lifecycle(b), "packet": packet_lifecycle(b), "socket": socket_lifecycle(b), "object_phase": _object_spans(b)}
     rows = None
     for kind, df in kinds.items():
         one = df.groupBy("state").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "state", "n")
@@ -223,7 +239,12 @@ _OVERLAP = (
 )
 
 
-def _overlap(b: Bridge, bucket: int | None = None) -> DataFrame:
+#: Widths of the cells that range joins and as-of lookups deal a busy key into: bytes of a stream, nanoseconds.
+CELL_BYTES, CELL_NS = 1 << 16, 1 << 22
+PATH_NS = 60 * 10**9
+
+
+def _overlap(b: Bridge, bucket: int = CELL_BYTES) -> DataFrame:
     keys = [P, "connection_id", "stream_id", "direction"]
     objects = object_lifecycle(b).where("start_ns IS NOT NULL AND stream_offset_end IS NOT NULL").select(*keys, F.col("trace_id").alias("object_id"), F.col("stream_offset_start").alias("l_s"), F.col("stream_offset_end").alias("l_e"))
     frames = b.frame.join(b.packet_start.select(P, "trace_id", "connection_id", "direction"), [P, "trace_id"]).select(*keys, F.col("trace_id").alias("packet_id"), F.col("offset_start").alias("r_s"), F.col("offset_end").alias("r_e"))
@@ -274,22 +295,22 @@ def fanout_degree(b: Bridge) -> DataFrame:
 @query("SELECT p.process_key, p.trace_id, p.connection_id, p.timestamp_ns, x.timestamp_ns AS valid_from, x.peer_port FROM {packet_start} p ASOF LEFT JOIN {path} x ON p.connection_id = x.connection_id AND p.timestamp_ns >= x.timestamp_ns")
 def path_asof(b: Bridge) -> DataFrame:
     paths = b.path.select(P, "connection_id", "timestamp_ns", "peer_port")
-    return correlate.as_of(b.packet_start.select(P, "trace_id", "connection_id", "timestamp_ns"), paths, [P, "connection_id"])
+    return correlate.as_of(b.packet_start.select(P, "trace_id", "connection_id", "timestamp_ns"), paths, [P, "connection_id"], cell=PATH_NS)
 
 
 @query("SELECT process_key, connection_id, timestamp_ns AS valid_from, lead(timestamp_ns) OVER (PARTITION BY process_key, connection_id ORDER BY timestamp_ns) AS valid_to, '10.0.0.' || a AS local_address, peer_port FROM {path}")
 def path_validity(b: Bridge) -> DataFrame:
-    w = Window.partitionBy(P, "connection_id").orderBy("timestamp_ns")
     local = G.address_text(G.ipv4_mapped(F.concat(F.lit("10.0.0."), F.col("a").cast("string"))))
-    return b.path.select(P, "connection_id", F.col("timestamp_ns").alias("valid_from"), F.lead("timestamp_ns").over(w).alias("valid_to"), local.alias("local_address"), "peer_port")
+    return correlate.valid_paths(b.path.select(P, "connection_id", "timestamp_ns", local.alias("local_address"), "peer_port"), [P, "connection_id"])
 
 
-@query("SELECT p.process_key, p.trace_id AS packet_id, s.trace_id AS socket_id, count(*) OVER (PARTITION BY p.process_key, p.trace_id) AS n_candidates FROM (SELECT s.process_key, s.trace_id, s.connection_id, s.direction, e.timestamp_ns FROM {packet_start} s JOIN {packet_end} e ON s.trace_id = e.trace_id WHERE s.direction = 'tx') p JOIN (SELECT s.process_key, s.trace_id, s.connection_id, s.direction, e.timestamp_ns FROM {socket_start} s JOIN {socket_end} e ON s.trace_id = e.trace_id) s ON p.process_key = s.process_key AND p.direction = s.direction AND p.timestamp_ns = s.timestamp_ns AND (s.connection_id IS NULL OR s.connection_id = p.connection_id)")
+@query("SELECT p.process_key, p.direction, p.trace_id AS packet_id, s.trace_id AS socket_id, count(*) OVER (PARTITION BY p.process_key, p.direction, p.trace_id) AS n_candidates FROM (SELECT s.process_key, s.trace_id, s.connection_id, s.direction, e.timestamp_ns FROM {packet_start} s JOIN {packet_end} e ON s.trace_id = e.trace_id WHERE s.direction = 'tx' UNION ALL SELECT process_key, trace_id, connection_id, direction, timestamp_ns FROM {packet_start} WHERE direction = 'rx') p JOIN (SELECT s.process_key, s.trace_id, s.connection_id, s.direction, e.timestamp_ns FROM {socket_start} s JOIN {socket_end} e ON s.trace_id = e.trace_id) s ON p.process_key = s.process_key AND p.direction = s.direction AND p.timestamp_ns = s.timestamp_ns AND (s.connection_id IS NULL OR s.connection_id = p.connection_id)")
 def socket_packet_completion(b: Bridge) -> DataFrame:
-    packets = packet_lifecycle(b).where("state = 'closed' AND direction = 'tx'").select(P, "direction", F.col("end_ns").alias("at"), F.col("trace_id").alias("packet_id"), "connection_id")
+    own = [P, "direction", F.col("trace_id").alias("packet_id"), "connection_id"]
+    sent = packet_lifecycle(b).where("state = 'closed' AND direction = 'tx'").select(*own, F.col("end_ns").alias("at"))
+    received = b.packet_start.where("direction = 'rx'").select(*own, F.col("timestamp_ns").alias("at"))
     calls = socket_lifecycle(b).where("state = 'closed'").select(P, "direction", F.col("end_ns").alias("at"), F.col("trace_id").alias("socket_id"), F.col("connection_id").alias("socket_connection"))
-    both = packets.join(calls, [P, "direction", "at"]).where("socket_connection IS NULL OR socket_connection = connection_id")
-    return both.select(P, "packet_id", "socket_id", F.count("*").over(Window.partitionBy(P, "packet_id")).alias("n_candidates"))
+    return pairing.carried_by_reads(sent.unionByName(received), calls, [P, "direction"]).select(P, "direction", "packet_id", "socket_id", "n_candidates")
 
 
 _CLOSED = "SELECT a.process_key, a.trace_id, a.span_id, a.phase, a.timestamp_ns AS s, b.timestamp_ns AS e FROM {object_phase} a JOIN {object_phase} b ON a.span_id = b.span_id WHERE a.edge = 'start' AND b.edge = 'done'"
@@ -297,7 +318,7 @@ _CLOSED = "SELECT a.process_key, a.trace_id, a.span_id, a.phase, a.timestamp_ns
 
 @query(f"SELECT *, e - s - nested_ns AS exclusive_ns FROM (SELECT p.process_key, p.trace_id, p.span_id, p.phase, p.s, p.e, CAST(coalesce(sum(c.e - c.s), 0) AS BIGINT) AS nested_ns FROM ({_CLOSED}) p LEFT JOIN ({_CLOSED}) c ON c.phase = 'transport_call' AND c.trace_id = p.trace_id AND c.s >= p.s AND c.e <= p.e WHERE p.phase NOT IN ('transport_call', 'delivery_wait', 'write_blocked') GROUP BY ALL)")
 def phase_exclusive_time(b: Bridge) -> DataFrame:
-    done = span_pairing_object(b).where("start_ns IS NOT NULL AND end_ns IS NOT NULL").select(P, "trace_id", "span_id", "phase", F.col("start_ns").alias("s"), F.col("end_ns").alias("e"))
+    done = _object_spans(b).where("start_ns IS NOT NULL AND end_ns IS NOT NULL").select(P, "trace_id", "span_id", "phase", F.col("start_ns").alias("s"), F.col("end_ns").alias("e"))
     work = done.where(~F.col("phase").isin("transport_call", "delivery_wait", "write_blocked"))
     return correlate.contained_time(work, done.where("phase = 'transport_call'"), [P, "trace_id"], "span_id")
 
@@ -324,7 +345,7 @@ def blocked_overlap_packet(b: Bridge) -> DataFrame:
     keys = [P, "connection_id"]
     blocked = span_pairing_blocked(b).where("state = 'closed'").select(*keys, "span_id", F.col("start_ns").alias("l_s"), F.col("end_ns").alias("l_e"))
     packets = packet_lifecycle(b).where("state = 'closed'").select(*keys, F.col("trace_id").alias("packet_id"), F.col("start_ns").alias("r_s"), F.col("end_ns").alias("r_e"))
-    return correlate.range_overlap(blocked, packets, keys).select(P, "span_id", "connection_id", "packet_id", F.col("overlap").alias("overlap_ns"))
+    return correlate.range_overlap(blocked, packets, keys, CELL_NS).select(P, "span_id", "connection_id", "packet_id", F.col("overlap").alias("overlap_ns"))
 
 
 # --- reports ----------------------------------------------------------------
@@ -332,7 +353,7 @@ def blocked_overlap_packet(b: Bridge) -> DataFrame:
 
 @query(f"SELECT process_key, trace_id, phase, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS total_ns FROM ({_CLOSED}) GROUP BY ALL")
 def phase_totals_per_object(b: Bridge) -> DataFrame:
-    done = span_pairing_object(b).where("start_ns IS NOT NULL AND end_ns IS NOT NULL")
+    done = _object_spans(b).where("start_ns IS NOT NULL AND end_ns IS NOT NULL")
     return done.groupBy(P, "trace_id", "phase").agg(F.count("*").alias("n"), F.sum("duration_ns").alias("total_ns"))
 
 
@@ -351,7 +372,7 @@ def outcome_breakdown(b: Bridge) -> DataFrame:
 
 @query(f"SELECT p.process_key, p.trace_id, o.connection_id, count(*) AS n, CAST(sum(p.e - p.s) AS BIGINT) AS wait_ns FROM ({_CLOSED}) p JOIN {{object_start}} o ON p.trace_id = o.trace_id WHERE o.direction = 'tx' AND p.phase = 'delivery_wait' GROUP BY ALL".replace("{{", "{").replace("}}", "}"))
 def delivery_wait_by_copy(b: Bridge) -> DataFrame:
-    waits = span_pairing_object(b).where("phase = 'delivery_wait' AND start_ns IS NOT NULL AND end_ns IS NOT NULL")
+    waits = _object_spans(b).where("phase = 'delivery_wait' AND start_ns IS NOT NULL AND end_ns IS NOT NULL")
     copies = b.object_start.where("direction = 'tx'").select(P, "trace_id", "connection_id")
     return waits.join(copies, [P, "trace_id"]).groupBy(P, "trace_id", "connection_id").agg(F.count("*").alias("n"), F.sum("duration_ns").alias("wait_ns"))
 
@@ -368,9 +389,12 @@ def retransmitted_bytes(b: Bridge) -> DataFrame:
     return sent.groupBy("retransmission").agg(F.count("*").alias("frames"), F.sum(F.col("offset_end") - F.col("offset_start")).alias("bytes"))
 
 
-@query("SELECT peer_port, connection_id, count(*) AS packets FROM (SELECT p.trace_id, p.connection_id, x.peer_port FROM {packet_start} p ASOF JOIN {path} x ON p.connection_id = x.connection_id AND p.timestamp_ns >= x.timestamp_ns) GROUP BY ALL")
+@query("SELECT c.process_key, c.timestamp_ns, '10.0.0.' || c.local_last AS local_address, c.peer_port, c.bytes, p.connection_id FROM {capture} c JOIN (SELECT *, lead(timestamp_ns) OVER (PARTITION BY process_key, connection_id ORDER BY timestamp_ns) AS valid_to FROM {path}) p ON c.process_key = p.process_key AND c.local_last = p.a AND c.peer_port = p.peer_port AND c.timestamp_ns >= p.timestamp_ns AND (p.valid_to IS NULL OR c.timestamp_ns < p.valid_to)")
 def path_address_join(b: Bridge) -> DataFrame:
-    return path_asof(b).where("valid_from IS NOT NULL").groupBy("peer_port", "connection_id").agg(F.count("*").alias("packets"))
+    local = lambda c: G.address_text(G.ipv4_mapped(F.concat(F.lit("10.0.0."), F.col(c).cast("string")))).alias("local_address")
+    paths = correlate.valid_paths(b.path.select(P, "connection_id", "timestamp_ns", local("a"), "peer_port"), [P, "connection_id"])
+    captured = b.capture.select(P, "timestamp_ns", local("local_last"), "peer_port", "bytes")
+    return correlate.address_join(paths, captured, [P, "local_address", "peer_port"]).select(P, "timestamp_ns", "local_address", "peer_port", "bytes", "connection_id")
 
 
 _RELAY = f"SELECT r.process_key, r.trace_id AS rx_id, t.trace_id AS tx_id, r.timestamp_ns AS rx_start_ns, max(e.timestamp_ns) AS sent_ns, CAST(sum(v.bytes) AS BIGINT) AS bytes, max(e.timestamp_ns) - r.timestamp_ns AS latency_ns FROM {{object_start}} r JOIN {{object_start}} t ON r.logical_group = t.logical_group AND r.logical_frame = t.logical_frame JOIN ({_OVERLAP}) v ON v.object_id = t.trace_id JOIN {{packet_end}} e ON e.trace_id = v.packet_id WHERE r.direction = 'rx' AND t.direction = 'tx' GROUP BY r.process_key, r.trace_id, t.trace_id, r.timestamp_ns".replace("{{", "{").replace("}}", "}")
@@ -389,8 +413,9 @@ def relay_latency(b: Bridge) -> DataFrame:
 
 @query(f"SELECT direction, phase, round(quantile_cont(d, 0.5), 3) AS p50, round(quantile_cont(d, 0.9), 3) AS p90, round(quantile_cont(d, 0.99), 3) AS p99 FROM (SELECT o.direction, p.phase, p.e - p.s AS d FROM ({_CLOSED}) p JOIN {{object_start}} o ON p.trace_id = o.trace_id) GROUP BY ALL".replace("{{", "{").replace("}}", "}"))
 def latency_percentiles(b: Bridge) -> DataFrame:
-    done = span_pairing_object(b).where("start_ns IS NOT NULL AND end_ns IS NOT NULL").join(b.object_start.select(P, "trace_id", "direction"), [P, "trace_id"])
-    return done.groupBy("direction", "phase").agg(*[F.round(F.percentile("duration_ns", F.lit(q)), 3).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
+    done = _object_spans(b).where("start_ns IS NOT NULL AND end_ns IS NOT NULL").join(b.object_start.select(P, "trace_id", "direction"), [P, "trace_id"])
+    found = quantiles.quantiles(done, ["direction", "phase"], "duration_ns", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return found.select("direction", "phase", *[F.round(c, 3).alias(c) for c in ("p50", "p90", "p99")])
 
 
 @query("SELECT rx_id, tx_id, latency_ns FROM (" + _RELAY + ") ORDER BY latency_ns DESC, tx_id LIMIT 20")

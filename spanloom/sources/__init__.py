@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decode
+from ..functions import decode, masks
 from ..schemas import EVENTS, decoded_schema, raw_schema
 
 
@@ -36,6 +37,32 @@ def enabled(stream: DataFrame, events: list[str]) -> DataFrame:
     return stream.where(F.col("event").isin(events))
 
 
+@dataclass(frozen=True)
+class Wrapper:
+    """One event's pair of calls: whether it is enabled, and emitting rows of it."""
+
+    event: str
+
+    def enabled(self, mask: Column) -> Column:
+        return masks.enabled(mask, self.event)
+
+    def emit(self, rows: DataFrame, mask: Column | None = None) -> DataFrame:
+        """rows as a tagged stream of this event, less those whose mask has it off; a column that is no column of the event is an error."""
+        unknown = set(rows.columns) - set(decoded_schema(self.event).names)
+        if unknown:
+            raise ValueError(f"{self.event} has no columns {sorted(unknown)}")
+        return tagged({self.event: rows if mask is None else rows.where(self.enabled(mask))})
+
+
+def wrappers() -> dict[str, Wrapper]:
+    return {event: Wrapper(event) for event in EVENTS}
+
+
+def counters(stream: DataFrame) -> DataFrame:
+    """Per event of a tagged stream (event, timestamp_ns, edge): clock readings, one an event, and span ids, one a start edge."""
+    return stream.groupBy("event").agg(F.count("timestamp_ns").alias("clock_reads"), F.count_if(F.coalesce(F.col("edge") == "start", F.lit(False))).alias("span_ids"))
+
+
 def recording(spark: SparkSession, event: str, rows: list[tuple]) -> DataFrame:
     """An in-memory table of one event, oldest first."""
     return spark.createDataFrame(rows, decoded_schema(event))

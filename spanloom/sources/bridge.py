@@ -26,13 +26,13 @@ TABLES = {
     "object_phase": "SELECT process_key, s AS timestamp_ns, trace_id, span_id, phase, 'start' AS edge, CAST(NULL AS {string}) AS outcome FROM {object_span} WHERE q % 127 <> 0 UNION ALL SELECT process_key, e, trace_id, span_id, phase, 'done', CASE WHEN q % 17 = 0 THEN 'failed' ELSE 'success' END FROM {object_span} WHERE q % 113 <> 0",
     # packets: one per 1200 bytes of a stream
     "stream": "SELECT process_key, connection_id, stream_id, direction, min(start_ns) AS first_ns, max(offset_end) AS length FROM {object} GROUP BY process_key, connection_id, stream_id, direction",
-    "packet": "SELECT process_key, connection_id, stream_id, direction, k, 2000000000000 + (connection_id * 16 + stream_id) * 100000 + k AS trace_id, 1200 * k AS offset_start, least(1200 * (k + 1), length) AS offset_end, first_ns + k * 5000 AS start_ns, first_ns + (k DIV 4) * 20000 + 19000 + (k DIV 4) % 3 AS end_ns FROM (SELECT *, {grid} AS k FROM {stream})",
+    "packet": "SELECT process_key, connection_id, stream_id, direction, k, 2000000000000 + (connection_id * 16 + stream_id) * 100000 + k AS trace_id, 1200 * k AS offset_start, least(1200 * (k + 1), length) AS offset_end, CASE WHEN direction = 'rx' THEN first_ns + (k DIV 4) * 20000 ELSE first_ns + k * 5000 END AS start_ns, first_ns + (k DIV 4) * 20000 + 19000 + (k DIV 4) % 3 AS end_ns FROM (SELECT *, {grid} AS k FROM {stream})",
     "packet_start": "SELECT process_key, start_ns AS timestamp_ns, trace_id, connection_id, direction, CASE WHEN k % 5 <> 0 THEN k END AS packet_number, CASE WHEN k % 5 <> 0 THEN 'data' END AS packet_space, CASE WHEN k % 3 = 0 THEN offset_end - offset_start + 40 END AS byte_len FROM {packet} WHERE k % 211 <> 7",
     "packet_end": "SELECT process_key, end_ns AS timestamp_ns, trace_id, k AS packet_number, 'data' AS packet_space, CASE WHEN k % 3 <> 0 THEN offset_end - offset_start + 40 END AS byte_len, CASE WHEN k % 29 = 0 THEN 'dropped' ELSE 'success' END AS outcome FROM {packet} WHERE k % 199 <> 3",
     "packet_span": "SELECT process_key, trace_id, direction, 8 * trace_id + j AS span_id, phase, start_ns + a * 500 AS s, CASE WHEN j = 3 THEN end_ns ELSE start_ns + b * 500 END AS e FROM {packet} JOIN (VALUES (0, 'scheduling', 0, 1), (1, 'frame_encode', 1, 3), (2, 'application', 3, 6), (3, 'send_queue', 6, 7), (4, 'read_queue', -4, 9)) AS p(j, phase, a, b) ON direction = 'tx' AND j < 4 OR direction = 'rx' AND j IN (0, 2, 4)",
     "frame": "SELECT process_key, start_ns + 100 AS timestamp_ns, trace_id, stream_id, offset_start, offset_end, 'success' AS outcome, CASE WHEN direction = 'tx' AND k % 4 <> 1 THEN k % 13 = 0 END AS retransmission FROM {packet} WHERE k % 157 <> 11",
     # one socket call for four packets
-    "socket": "SELECT process_key, connection_id, direction, 3000000000000 + (connection_id * 16 + stream_id) * 100000 + k DIV 4 AS trace_id, max(end_ns) AS end_ns, count(*) AS buffers, CAST(sum(offset_end - offset_start + 40) AS BIGINT) AS bytes, k DIV 4 AS batch FROM {packet} GROUP BY process_key, connection_id, direction, stream_id, k DIV 4",
+    "socket": "SELECT process_key, connection_id, direction, 3000000000000 + (connection_id * 16 + stream_id) * 100000 + k DIV 4 AS trace_id, max(CASE WHEN direction = 'rx' THEN start_ns ELSE end_ns END) AS end_ns, count(*) AS buffers, CAST(sum(offset_end - offset_start + 40) AS BIGINT) AS bytes, k DIV 4 AS batch FROM {packet} GROUP BY process_key, connection_id, direction, stream_id, k DIV 4",
     "socket_start": "SELECT process_key, end_ns - 700 AS timestamp_ns, trace_id, CASE WHEN trace_id % 5 <> 0 THEN connection_id END AS connection_id, direction FROM {socket} WHERE batch % 53 <> 5",
     "socket_end": "SELECT process_key, end_ns AS timestamp_ns, trace_id, CASE batch % 7 WHEN 5 THEN 'would_block' WHEN 6 THEN 'error' ELSE 'success' END AS outcome, buffers, buffers AS datagrams, bytes FROM {socket}",
     "blocked_span": "SELECT process_key, n + 1 AS span_id, connection_id, CASE WHEN n % 2 = 0 THEN stream_id END AS stream_id, CASE n % 6 WHEN 0 THEN 'congestion_window' WHEN 1 THEN 'pacing' WHEN 2 THEN 'amplification' WHEN 3 THEN 'connection_flow_control' WHEN 4 THEN 'stream_flow_control' ELSE 'send_buffer' END AS reason, ts_ns + 100 AS s, ts_ns + 100 + size * 3 * (n % 50 + 1) AS e FROM {base}",
@@ -47,6 +47,16 @@ TABLES = {
     "fanout": "SELECT process_key, n AS fanout_id, CASE WHEN n % 31 <> 0 THEN ts_ns END AS s, CASE WHEN n % 37 <> 0 THEN ts_ns + 1000 END AS e FROM {base}",
     "excluded": "SELECT process_key, n AS fanout_id, i AS seq, ts_ns + (i * 97 + n * 13) % 1100 - 20 AS s, ts_ns + (i * 97 + n * 13) % 1100 - 30 + (n + i * 5) % 60 AS e FROM {base} JOIN {small} ON i < n % 12",
     "buffer": "SELECT process_key, n, connection_id, size, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 1200 ELSE 300 END AS segment, CASE n % 6 WHEN 0 THEN 0 WHEN 1 THEN 11 WHEN 2 THEN 104 WHEN 3 THEN 105 WHEN 4 THEN 90 END AS errno FROM {base}",
+    # nested scopes on one thread, what happens in them, and reports about them
+    "publish": "SELECT process_key, n AS thread_id, 4 * n AS step_id, ts_ns AS s, ts_ns + 1000 AS e, 'success' AS outcome FROM {base} UNION ALL SELECT process_key, n, 4 * n + 1, ts_ns + 200, ts_ns + 600, CASE WHEN n % 13 = 0 THEN 'failed' ELSE 'success' END FROM {base} WHERE n % 3 = 0 UNION ALL SELECT process_key, n, 4 * n + 2, ts_ns + 300, ts_ns + 400, 'success' FROM {base} WHERE n % 6 = 0 UNION ALL SELECT process_key, n, 4 * n + 3, ts_ns + 600, ts_ns + 700, 'success' FROM {base} WHERE n % 3 = 0",
+    "publish_wake": "SELECT process_key, n AS thread_id, i AS seq, ts_ns + i * 110 - 60 AS s, ts_ns + i * 110 - 40 + (n + i) % 30 AS e FROM {base} JOIN {small} ON i < 3 + n % 9",
+    "scoped": "SELECT process_key, n AS thread_id, 2 * n AS fanout_id, ts_ns AS s, ts_ns + 1000 AS e FROM {base} UNION ALL SELECT process_key, n, 2 * n + 1, ts_ns + 300, ts_ns + 500 FROM {base} WHERE n % 4 = 0",
+    "copy_begin": "SELECT process_key, n AS thread_id, i AS copy_id, j AS seq, ts_ns - 100 + i * 120 + j * 15 AS called_ns, ts_ns - 100 + i * 120 + j * 10 AS s FROM {base} JOIN {small} ON i < 2 + n % 8 JOIN (VALUES (0), (1)) AS twice(j) ON j <= (n + i) % 2",
+    "copy_end": "SELECT process_key, n AS thread_id, i AS copy_id, ts_ns - 100 + i * 120 + 50 + (n + i) % 90 AS e FROM {base} JOIN {small} ON i < 2 + n % 8",
+    "fanout_close": "SELECT process_key, n AS fanout_id, 4 + (n + 5 * i) % 9 AS seq, ts_ns + 700 + (n * 7 + i * 31) % 300 AS at FROM {base} JOIN {small} ON i < n % 4",
+    "system_call": "SELECT process_key, n AS trace_id, connection_id, CASE WHEN n % 2 = 0 THEN 'tx' ELSE 'rx' END AS direction, ts_ns AS start_ns, CASE WHEN n % 5 <> 0 THEN ts_ns + 900 END AS returned_ns, ts_ns + 1500 AS now_ns, CASE n % 6 WHEN 0 THEN 0 WHEN 1 THEN 11 WHEN 2 THEN 104 WHEN 3 THEN 105 WHEN 4 THEN 0 END AS errno, n % 7 + 1 AS buffers, n % 7 + 1 AS datagrams, size AS bytes, n % 512 AS mask FROM {base}",
+    "batch_move": "SELECT DISTINCT process_key, trace_id AS batch_id, trace_id - 1 AS to_batch FROM {socket} WHERE direction = 'tx' AND batch % 5 = 1",
+    "capture": "SELECT process_key, ts_ns + i * 700000 AS timestamp_ns, a AS local_last, peer_port, 1200 - i AS bytes FROM (SELECT process_key, ts_ns, n % 256 AS a, n % 65000 + 1 AS peer_port FROM {base} WHERE n % 25 = 0) AS seen JOIN {small} ON i < 5",
     "raw_packet": "SELECT process_key, n, ts_ns AS timestamp_ns, n + 1 AS trace_id, n % 3 AS direction, CASE WHEN n % 5 <> 0 THEN 1 ELSE 0 END AS has_packet_number, CASE WHEN n % 5 <> 0 THEN n % 1000 ELSE 0 END AS packet_number, CASE WHEN n % 7 <> 0 THEN 1 ELSE 0 END AS has_packet_space, CASE WHEN n % 7 <> 0 THEN n % 6 ELSE 0 END AS packet_space FROM {base}",
 }
 _SPARK = {"ns": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000", "grid": "explode(sequence(0L, (length - 1) DIV 1200))", "string": "STRING", "small": _SMALL}

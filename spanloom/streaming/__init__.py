@@ -65,21 +65,83 @@ def paired(edges: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Spans of a stream of edges, each emitted once both halves came.
 
     With a timeout (queries that run on) orphans leave as open or headless when
-    it is over; without one (a run over what is there) they stay in the state store.
+    it is over; without one (a run over what is there) they stay in the state store, from where left_over() reads them.
     """
     mode = "none" if timeout_ms is None else "processingTime"
     return edges.groupBy("process_key", "span_id").transformWithStateInPandas(_Pairing(timeout_ms), outputStructType=PAIRED, outputMode="append", timeMode=mode)
 
 
-def window_counts(edges: DataFrame, width: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
-    """Edges per window and phase; the clock is the payload's, in microseconds since the process's epoch."""
-    at = F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000)))
-    return edges.withColumn("at", at).withWatermark("at", late).groupBy(F.window("at", width), "phase").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "phase", "n")
+def left_over(spark: SparkSession, target: str) -> DataFrame:
+    """The halves that a finished run of paired() still holds, as open and headless spans: a batch read of its state."""
+    half = spark.read.format("statestore").option("stateVarName", "half").load(f"{target}-state")
+    rows = half.select("key.*", "value.*")
+    state = F.when(F.col("end_ns").isNull(), "open").otherwise("headless")
+    return rows.select("process_key", "span_id", "start_ns", "end_ns", "outcome", state.alias("state"))
 
 
-def run_once(spark: SparkSession, source: str, schema, build, target: str, mode: str = "append") -> DataFrame:
-    """Runs build(stream of source) over all that is there now and returns the rows it wrote."""
+MERGED = "process_key string, scope_id bigint, slot int, s bigint, e bigint, merged bigint"
+
+
+class _Merging(StatefulProcessor):
+    """Holds a scope's first intervals; later ones extend the last. Its state is bounded by the slots, however long the scope is."""
+
+    def __init__(self, slots: int):
+        self.slots = slots
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "s bigint, e bigint, merged bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [list(x) for x in self.held.get()] if self.held.exists() else []
+        ended = False
+        new = pd.concat(list(rows)).sort_values("seq")
+        for s, e, closes in zip(new["s"], new["e"], new["closes"], strict=True):
+            if closes:
+                ended = True
+            elif len(held) < self.slots:
+                held.append([int(s), int(e), 1])
+            else:
+                last = held[-1]
+                held[-1] = [min(last[0], int(s)), max(last[1], int(e)), last[2] + 1]
+        if ended:
+            self.held.clear()
+            if held:
+                yield pd.DataFrame([(key[0], key[1], i + 1, *x) for i, x in enumerate(held)], columns=["process_key", "scope_id", "slot", "s", "e", "merged"])
+        else:
+            self.held.put([tuple(x) for x in held])
+
+    def close(self) -> None:
+        pass
+
+
+def merged_intervals(reports: DataFrame, slots: int = 8) -> DataFrame:
+    """Each scope's intervals as intervals.saturating_merge gives them, emitted when the scope closes.
+
+    reports: process_key, scope_id, seq, s, e, closes; a scope's reports come in order of seq, the closing one last.
+    """
+    return reports.groupBy("process_key", "scope_id").transformWithStateInPandas(_Merging(slots), outputStructType=MERGED, outputMode="append", timeMode="none")
+
+
+def _timed(edges: DataFrame, late: str) -> DataFrame:
+    """Rows with the payload's clock (nanoseconds) as the event time; what is later than the watermark is lost to windows."""
+    return edges.withColumn("at", F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000)))).withWatermark("at", late)
+
+
+def window_counts(edges: DataFrame, width: str = "10 seconds", late: str = "30 seconds", slide: str | None = None) -> DataFrame:
+    """Edges per window and phase; with slide the windows overlap."""
+    window = F.window("at", width, slide) if slide else F.window("at", width)
+    return _timed(edges, late).groupBy(window, "phase").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "phase", "n")
+
+
+def session_counts(edges: DataFrame, gap: str = "1 second", late: str = "30 seconds") -> DataFrame:
+    """Edges per trace and burst: a burst ends where nothing came for the gap."""
+    return _timed(edges, late).groupBy(F.session_window("at", gap), "process_key", "trace_id").agg(F.count("*").alias("n")).select("process_key", "trace_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def run_once(spark: SparkSession, source: str, schema, build, target: str, mode: str = "append", files: int | None = None) -> DataFrame:
+    """Runs build(stream of source) over all that is there now, that many files at a time, and returns the rows it wrote."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    stream = build(spark.readStream.schema(schema).parquet(source))
+    reader = spark.readStream.schema(schema)
+    stream = build((reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(source))
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start(target).awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)

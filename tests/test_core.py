@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from spanloom import functions as G
 from spanloom import plans
-from spanloom.operators import correlate, intervals, pairing
+from spanloom.operators import correlate, intervals, pairing, quantiles
 from spanloom.schemas import ENUMS, EVENTS, decoded_schema, raw_schema
-from spanloom.sources import discard, enabled, read_event, recording, tagged, write_events
+from spanloom.sources import discard, enabled, read_event, recording, tagged, text, wrappers, write_events
 from spanloom.sources.bridge import Bridge
 
 SF = "/root/testdata/sf0.001"
@@ -127,11 +127,14 @@ def test_streams_pair_and_count(spark, tmp_path):
 
     b = Bridge(spark, SF)
     source = str(tmp_path / "edges")
-    b.object_phase.where("trace_id < 60").repartition(3).write.parquet(source)
+    b.object_phase.where("trace_id < 200").repartition(3).write.parquet(source)
     schema = spark.read.parquet(source).schema
     rows = streaming.run_once(spark, source, schema, streaming.paired, str(tmp_path / "out"))
     want = pairing.spans(spark.read.parquet(source), ["trace_id", "phase"]).where("state = 'closed'")
     assert sorted((r.span_id, r.start_ns, r.end_ns, r.outcome) for r in rows.where("state = 'closed'").collect()) == sorted((r.span_id, r.start_ns, r.end_ns, r.outcome) for r in want.collect())
+    orphans = pairing.spans(spark.read.parquet(source), ["trace_id", "phase"]).where("state IN ('open', 'headless')")
+    left = streaming.left_over(spark, str(tmp_path / "out"))
+    assert sorted((r.span_id, r.state) for r in left.collect()) == sorted((r.span_id, r.state) for r in orphans.collect()) != []
     counts = streaming.run_once(spark, source, schema, streaming.window_counts, str(tmp_path / "counts"))
     assert counts.columns == ["start", "phase", "n"]
 
@@ -147,3 +150,140 @@ def test_entry_without_llm(spark, monkeypatch):
     sys.modules.pop("__spark_entry__", None)
     assert entry.entry(spark).columns == ["process_key", "rx_id", "tx_id", "rx_start_ns", "sent_ns", "bytes", "latency_ns"]
     assert os.path.isdir(SF)
+
+
+def test_innermost_scopes(spark):
+    """Against a stack: wakes and copies belong to the innermost scope of their thread."""
+    rng = random.Random(8)
+    scopes, points = [], []
+    for thread in range(6):
+        at, stack, own = 0, [], []
+        for _ in range(60):
+            at += rng.randrange(1, 4)
+            what = rng.random()
+            if what < 0.3:
+                stack.append(len(scopes))
+                scopes.append([thread, len(scopes), at, None])
+            elif what < 0.6 and stack:
+                scopes[stack.pop()][3] = at
+            else:
+                points.append((thread, len(points), at))
+                own.append(stack[-1] if stack else None)
+        while stack:
+            at += 1
+            scopes[stack.pop()][3] = at
+    want = {}
+    for thread, i, at in points:
+        inside = [s for s in scopes if s[0] == thread and s[2] <= at < s[3]]
+        if inside:
+            want[i] = max(inside, key=lambda s: s[2])[1]
+    got = intervals.innermost(spark.createDataFrame(scopes, "t int, id int, s long, e long"), spark.createDataFrame(points, "t int, i int, at long"), ["t"], "at", "id")
+    assert {r.i: r.id for r in got.collect()} == want and len(want) > 50
+
+
+def test_first_close_and_equality(spark):
+    f = spark.createDataFrame([(1, 0), (2, 0), (3, None)], "k int, s long")
+    closes = spark.createDataFrame([(1, 5, 90), (1, 2, 50), (3, 1, 10)], "k int, seq int, at long")
+    x = spark.createDataFrame([(1, 0, 10, 20), (1, 3, 60, 70), (2, 1, 5, 6), (3, 0, 1, 2)], "k int, seq int, s long, e long")
+    ended, before = intervals.first_closes(f, closes, x, ["k"])
+    assert sorted((r.k, r.s, r.e) for r in ended.collect()) == [(1, 0, 50), (2, 0, None), (3, None, None)]
+    assert sorted((r.s, r.e) for r in intervals.notify_gaps(ended, before, ["k"]).collect()) == [(0, 10), (20, 50)]
+    held = {r.k: [(h.s, h.e) for h in r.held] for r in intervals.kept_exclusions(ended, before, ["k"]).collect()}
+    assert held == {1: [(10, 20)], 2: [(5, 6)], 3: []}
+
+
+def test_as_of_in_cells_equals_plain(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(rng.randrange(3), rng.randrange(1000), i) for i in range(300)], "k int, timestamp_ns long, i int")
+    states = spark.createDataFrame([(rng.randrange(3), rng.randrange(1000), i) for i in range(25)], "k int, timestamp_ns long, v int")
+    found = lambda cell: sorted(map(str, correlate.as_of(rows, states, ["k"], cell=cell).collect()))
+    assert found(None) == found(1) == found(37) == found(5000)
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {1: rng.integers(-(10**6), 10**9, 4001), 2: rng.integers(0, 50, 500), 3: np.array([7]), 4: rng.integers(10**12, 2 * 10**12, 1000)}
+    df = spark.createDataFrame([(k, int(v)) for k, vs in groups.items() for v in vs] + [(1, None)], "k int, v long")
+    wanted = {"q0": 0.0, "q5": 0.5, "q9": 0.9, "q99": 0.99, "q100": 1.0}
+    for r in quantiles.quantiles(df, ["k"], "v", wanted).collect():
+        assert [r[n] for n in wanted] == pytest.approx([float(np.quantile(groups[r.k], q)) for q in wanted.values()], abs=1e-3)
+
+
+def test_doubled_edges_are_told(spark):
+    edges = recording(spark, "moq_object_phase", [("p", 10, 1, 1, "create", "start", None), ("p", 11, 1, 1, "create", "start", None), ("p", 30, 1, 1, "create", "done", "failed")])
+    assert [(r.state, r.start_ns) for r in pairing.spans(edges, ["trace_id"]).collect()] == [("doubled", 11)]
+
+
+def test_wrappers_check_their_event(spark):
+    w = wrappers()["udp_socket_start"]
+    rows = recording(spark, "udp_socket_start", [("p", 0, 2, None, "tx")])
+    assert w.emit(rows).columns[-1] == "event" and w.emit(rows, F.lit(0).cast("long")).count() == 0
+    with pytest.raises(ValueError):
+        w.emit(rows.withColumn("other", F.lit(1)))
+
+
+def test_trace_text(spark, tmp_path):
+    """The contract fixture's cardinalities, printed as text and read back."""
+    golden = {"moq_object_start": 12, "moq_object_end": 12, "moq_object_phase": 68, "quic_packet_start": 20, "quic_packet_end": 20, "quic_packet_phase": 200, "quic_stream_frame": 32, "udp_socket_start": 16, "udp_socket_end": 16, "quic_connection_path": 1, "quic_send_blocked": 24}
+    raw = {}
+    for event, n in golden.items():
+        columns = [F.lit("host").alias("process_key")]
+        for f in raw_schema(event)[1:]:
+            top = 2 if f.name.startswith("has_") or f.name in ("edge", "direction", "retransmission") else 5
+            columns.append((F.col("id") % top + (0 if top == 2 else f.name.count("t"))).cast(f.dataType).alias(f.name))
+        raw[event] = spark.range(n).select(*columns)
+    lines = [r[0] for event, df in raw.items() for r in df.select(text.written_line(event)).collect()]
+    lines += ["", "no event", "[1] (+1) host other:event: { cpu_id = 0 }, { x = 1 }"]
+    (tmp_path / "t.txt").write_text("\n".join(lines))
+    read = text.read_trace(spark, str(tmp_path / "t.txt"))
+    assert {event: df.count() for event, df in read.items()} == golden and sum(golden.values()) == 421
+    for event, df in read.items():
+        assert sorted(map(str, df.collect())) == sorted(map(str, G.decode(raw[event], event).collect()))
+    odd = '[10:00:00.1] (+?.?) moq_trace:moq_object_end: { cpu_id = 1 }, { vpid = 7, procname = "a" }, { timestamp_ns = 18446744073709551615, trace_id = 3, has_stream_offset_end = 0, stream_offset_end = 0, payload_bytes = 9, outcome = ( container = 77 ) }'
+    (tmp_path / "o.txt").write_text(odd)
+    row = text.event_rows(text.read_lines(spark, str(tmp_path / "o.txt")), "moq_object_end").first()
+    assert (row.process_key, row.timestamp_ns, row.trace_id, row.stream_offset_end, row.outcome) == ("7", None, 3, None, "unknown_77")
+
+
+def test_streams_keep_bounded_state(spark, tmp_path):
+    from spanloom import streaming
+
+    rng = random.Random(4)
+    rows = []
+    for scope in range(12):
+        n = rng.choice([0, 1, 4, 8, 9, 40])
+        rows += [("p", scope, i, 10 * i, 10 * i + rng.randrange(9), False) for i in range(n)] + [("p", scope, n, None, None, True)] * (scope % 5 != 4)
+    schema = "process_key string, scope_id long, seq int, s long, e long, closes boolean"
+    source = str(tmp_path / "reports")
+    spark.createDataFrame(sorted(rows, key=lambda r: r[2]), schema).coalesce(1).sortWithinPartitions("seq").write.option("maxRecordsPerFile", 30).parquet(source)
+    got = streaming.run_once(spark, source, spark.read.parquet(source).schema, lambda s: streaming.merged_intervals(s, 8), str(tmp_path / "out"))
+    closed = [r for r in rows if r[1] % 5 != 4 and not r[5]]
+    want = intervals.saturating_merge(spark.createDataFrame(closed, schema), ["process_key", "scope_id"], 8)
+    shown = lambda df: sorted((r.scope_id, r.slot, r.s, r.e, r.merged) for r in df.collect())
+    assert shown(got) == shown(want)
+
+
+def test_streams_window_kinds_and_late_rows(spark, tmp_path):
+    from spanloom import streaming
+
+    second = 10**9
+    schema = "process_key string, trace_id long, phase string, timestamp_ns long"
+    batches = [[("p", 1, "a", 1), ("p", 1, "a", 12), ("p", 2, "a", 13)], [("p", 1, "a", 100)], [("p", 2, "a", 101), ("p", 2, "a", 300)], [("p", 1, "a", 2)], [("p", 1, "a", 700)]]
+    source = tmp_path / "edges"
+    source.mkdir()
+    for i, rows in enumerate(batches):
+        one = str(tmp_path / f"b{i}")
+        spark.createDataFrame([(p, t, f, at * second) for p, t, f, at in rows], schema).coalesce(1).write.parquet(one)
+        part = next(f for f in os.listdir(one) if f.endswith(".parquet"))
+        os.rename(f"{one}/{part}", f"{source}/{i}.parquet")
+        os.utime(f"{source}/{i}.parquet", (1000 + i, 1000 + i))
+    run = lambda name, build: streaming.run_once(spark, str(source), spark.read.parquet(str(source)).schema, build, str(tmp_path / name), files=1)
+    at = lambda v: int(v.timestamp())
+    fixed = {(at(r.start), r.n) for r in run("w", lambda s: streaming.window_counts(s, "10 seconds", "30 seconds")).collect()}
+    assert fixed == {(0, 1), (10, 2), (100, 2), (300, 1)}  # the second of 2 came after its window was done; that of 700 is still open
+    sliding = {(at(r.start), r.n) for r in run("s", lambda s: streaming.window_counts(s, "10 seconds", "30 seconds", "5 seconds")).collect()}
+    assert {(0, 1), (5, 2), (10, 2), (95, 2), (100, 2)} <= sliding and max(n for _, n in sliding) == 2
+    sessions = {(r.trace_id, at(r.start), at(r.end), r.n) for r in run("x", lambda s: streaming.session_counts(s, "15 seconds", "30 seconds")).collect()}
+    assert sessions == {(1, 1, 27, 2), (2, 13, 28, 1), (1, 100, 115, 1), (2, 101, 116, 1), (2, 300, 315, 1)}
