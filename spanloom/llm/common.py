@@ -16,6 +16,10 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Items of one list that scanned() appends to.
+SCAN = 256
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, so that lineage is cut and any executor may be lost.
 
@@ -61,6 +65,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column], Column], kind: str) -> Column:
+    """emit(state) after each item, in order, of states made by step(state, item) from zero.
+
+    Lists are made SCAN items at a time, so that appending does not copy all that came before.
+    """
+    last = (F.size(items) - 1).cast("int")
+    blocks = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(SCAN)))
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def block(state: Column, at: Column) -> Column:
+        each = lambda a, x: let(step(a["state"], x), lambda new: F.struct(new.alias("state"), F.array_append(a["out"], emit(new)).alias("out")))
+        return F.aggregate(F.slice(items, at + 1, F.lit(SCAN)), F.struct(state.alias("state"), none.alias("out")), each)
+
+    every = lambda a, at: let(block(a["state"], at), lambda done: F.struct(done["state"].alias("state"), F.array_append(a["outs"], done["out"]).alias("outs")))
+    return F.aggregate(blocks, F.struct(zero.alias("state"), nothing.alias("outs")), every, lambda a: F.flatten(a["outs"]))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(c, UPPER, LOWER)
@@ -80,6 +101,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, a written table, hinted for a broadcast only if it has at most that many rows; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes of a table broadcast at most.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, width: Column | int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table, hinted for a broadcast only if its rows have at most that many bytes in all; otherwise the join shuffles.
+
+    width is a row's size: a number, or an expression for the parts that vary.
+    """
+    size = df.count() * width if isinstance(width, int) else df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def text_bytes(c: Column) -> Column:
+    """Size of a list of strings, with what the list itself takes."""
+    return F.octet_length(F.array_join(c, "")) + 24 * F.size(c)

@@ -15,10 +15,12 @@ and a score of 0; repeated rows are judged row by row; other columns are ignored
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, ascii_lower, let, read
+from .common import NON_WORD, ascii_lower, let, read, scanned
 
 #: Phrases that always count, and their labels. Fixed values.
 PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
@@ -155,6 +157,9 @@ NAME_FORMS = [(1, 0.9, r"dedicated to the {name}"), (2, 0.6, r"{name}")]
 GATE = ["licen", "reserved", "domain", "cc0", "spdx", "cc", "released", "published", "provided", "available", "distribut", "subject", "governed", "covered", "hereby", "endorse", "advertising", "liable", "gpl", "apache", "asl", "bsd"]
 
 
+MATCH = "struct<s:int,ne:int,priority:int,label:string,score:double>"
+
+
 def signatures() -> list[tuple[str, list[str], list[tuple[int, float, str]]]]:
     """label, keywords and rules of every license."""
 
@@ -175,32 +180,37 @@ def signatures() -> list[tuple[str, list[str], list[tuple[int, float, str]]]]:
 def _intervals(text: Column, pattern: Column) -> Column:
     """Start and end of every match, from the pieces between matches."""
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    place = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
 
     def walk(both: Column) -> Column:
-        def step(a: Column, k: Column) -> Column:
-            s = a["at"] + F.length(F.get(both["p"], k))
-            e = s + F.length(F.get(both["f"], k))
-            return F.struct(e.alias("at"), F.array_append(a["out"], F.struct(s.alias("s"), e.alias("e"))).alias("out"))
+        def step(a: Column, x: Column) -> Column:
+            return let(a["e"] + F.length(x["p"]), lambda s: place(s, s + F.length(x["f"])))
 
-        return F.when(F.size(both["f"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(both["f"]) - 1), zero, step, lambda a: a["out"])).otherwise(zero["out"])
+        pairs = F.zip_with(both["f"], F.slice(both["p"], F.lit(1), F.size(both["f"])), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
+        return let(pairs, lambda x: scanned(x, place(F.lit(0), F.lit(0)), step, lambda a: a, "struct<s:int,e:int>"))
 
     return let(F.struct(found.alias("f"), between.alias("p")), walk)
 
 
 def _matches(text: Column) -> Column:
-    """Kept matches of one normalised text, sorted by start: s, ne (end, negated), priority, label, score."""
-    rules = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, keys)).alias("keys"), F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(s).alias("score"), F.lit(r).alias("regex")) for p, s, r in forms]).alias("forms")) for label, keys, forms in signatures()])
-    hits = F.flatten(F.transform(F.filter(rules, lambda r: F.exists(r["keys"], lambda k: F.contains(text, k))), lambda r: F.flatten(F.transform(r["forms"], lambda f: F.transform(_intervals(text, f["regex"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), f["priority"].alias("priority"), r["label"].alias("label"), f["score"].alias("score")))))))
-    zero = F.struct(F.lit(-1).alias("m0"), F.lit(-1).alias("m1"), F.lit(-1).alias("m2"), F.array().cast("array<struct<s:int,ne:int,priority:int,label:string,score:double>>").alias("kept"))
+    """Kept matches of one normalised text, sorted by start: s, ne (end, negated), priority, label, score.
+
+    Whether a license's rules match at all is told by one literal alternation of them, compiled once; only then do the rules run one by one.
+    """
+    every = signatures()
+    rules = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(s).alias("score"), F.lit(r).alias("regex")) for p, s, r in forms]).alias("forms")) for label, _, forms in every])
+    some = F.array(*[reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keys]) & text.rlike("|".join(r for *_, r in forms)) for _, keys, forms in every])
+    of = lambda r: F.flatten(F.transform(r["forms"], lambda f: F.transform(_intervals(text, f["regex"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), f["priority"].alias("priority"), r["label"].alias("label"), f["score"].alias("score")))))
+    hits = F.flatten(F.transform(let(some, lambda found: F.filter(rules, lambda r, k: F.get(found, k))), of))
+    zero = F.struct(*[F.lit(-1).alias(f"m{p}") for p in range(3)], F.lit(None).cast(MATCH).alias("kept"))
 
     def step(a: Column, x: Column) -> Column:
         e = -x["ne"]
         reach = F.when(x["priority"] == 0, a["m0"]).when(x["priority"] == 1, a["m1"]).otherwise(a["m2"])
-        most = lambda m, p: F.when(x["priority"] <= p, F.greatest(m, e)).otherwise(m)
-        return F.struct(most(a["m0"], 0).alias("m0"), most(a["m1"], 1).alias("m1"), F.greatest(a["m2"], e).alias("m2"), F.when(reach >= e, a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"))
+        most = lambda p: F.when(x["priority"] <= p, F.greatest(a[f"m{p}"], e)).otherwise(a[f"m{p}"]).alias(f"m{p}")
+        return F.struct(most(0), most(1), most(2), F.when(reach < e, x).alias("kept"))
 
-    return F.aggregate(F.sort_array(hits), zero, step, lambda a: a["kept"])
+    return F.array_compact(let(F.sort_array(hits), lambda h: scanned(h, zero, step, lambda a: a["kept"], MATCH)))
 
 
 def _places(words: Column) -> Column:
@@ -222,7 +232,7 @@ def scan(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for k in range(len(GATE)):
         gate = gate | F.col(f"g{k}")
-    no_match = F.array().cast("array<struct<s:int,ne:int,priority:int,label:string,score:double>>")
+    no_match = F.array().cast(f"array<{MATCH}>")
     return w.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
