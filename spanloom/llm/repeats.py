@@ -51,8 +51,6 @@ from .common import Scratch, broadcast_if_small, read
 
 SPAN = 400
 GRAM = 32
-#: Rows of (hash) broadcast at most; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 #: Places told apart in one go; longer texts go in overlapping pieces.
 PIECE = 1 << 20
 #: Bytes of segments sorted into one run.
@@ -341,7 +339,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     grams = docs.select("text").mapInArrow(_gram_rows, "g bigint").groupBy("g").count().where("count > 1").select("g", (F.col("count") > HOT).alias("hot"))
     grams = scratch.write(grams, "grams")
     own = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
-    found = own.mapInArrow(_segment_rows, "g bigint, rk bigint, at bigint, mid int, sd binary, seg binary").join(broadcast_if_small(grams, BROADCAST_ROWS), "g")
+    found = own.mapInArrow(_segment_rows, "g bigint, rk bigint, at bigint, mid int, sd binary, seg binary").join(broadcast_if_small(grams, 32), "g")
     found = scratch.write(found, "segments")
     kinds = found.groupBy("g", "sd").agg(F.count("*").alias("copies"), F.first("mid").alias("mid"), F.first("seg").alias("seg"), F.first("hot").alias("hot"))
     runs = kinds.select("g", "sd", "copies", "mid", "seg", "hot").mapInArrow(_runs, "g bigint, side int, run bigint, pos int, lcp int, tail binary, sd binary, copies bigint")

@@ -1,24 +1,19 @@
 """Benchmark decontamination by winnowing.
 
 Fingerprints are the minimum 5-gram hash of every 6 consecutive 5-grams, so any
-10 words that a document shares with a benchmark item contain, in both, a
-5-gram of the same place that is a fingerprint. Document fingerprints are
-joined with the benchmark's; each hit is then extended word by word to both
-sides, at most five words each (further words belong to another window with a
-fingerprint of its own), and counts if ten words or more agree. Hits are thus
-confirmed on words, never on hashes.
-
-Where several 5-grams of a window share the minimum, a document takes one of
-them and the benchmark all, so that one pair of equal place always exists.
+10 words that a document shares with a benchmark item have, in both, the same
+fingerprint. Document fingerprints are joined with the benchmark's; each hit is
+then extended to both sides, to the (up to six) 10-word windows that hold its 5-gram. These are
+joined with the benchmark's windows on a hash of their words and confirmed on the words
+themselves, never on hashes; neighbouring windows make longer spans.
 Items of fewer than ten words form one window each, looked up by a hash of
 exactly that many words.
 
 Distribution: one scan of the documents makes the fingerprints inside
-whole-stage code and probes the benchmark's, which are cut into blocks of at
-most BLOCK rows; each block is broadcast (about 30 MB at most) and more blocks
-mean more passes, not a larger broadcast. Copies of an item, and items with the
-same passage, are one row. Hits meet the words again: broadcast if they are at
-most BLOCK rows, else with the words shuffled once.
+whole-stage code and probes the benchmark's: a table of numbers, broadcast if it has few bytes, else shuffled
+to with each document's different fingerprints. What is left are places, gathered per document (bounded by its words) to meet
+its words again once; a text is never copied per hit. Windows that many items
+hold are one row; common 5-grams cost nothing, as only equal windows pair. Items are cut into pieces, so a row is bounded for any length.
 
 Defined results: a null or empty text has no words and no hits; items without
 words have no window; items with a null id hit words but are not counted;
@@ -27,18 +22,16 @@ repeated document rows each get their own full result; other columns are ignored
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, let, letter_words, read
+from .common import Scratch, broadcast_if_small, let, letter_words, read, text_bytes
 
 SPAN = 10
 GRAM = 5
 REACH = SPAN - GRAM
-#: Benchmark fingerprints broadcast at once; a row holds 15 words and the ids of the items that have them.
-BLOCK = 100_000
+#: Windows of an item that one row holds.
+PIECE = 4096
 
 
 def _packed(w: Column) -> Column:
@@ -61,65 +54,57 @@ def _minima(words: Column) -> Column:
     return let(words, of)
 
 
-def _around(w: Column, at: Column) -> Column:
-    return F.transform(F.sequence(F.lit(-REACH), F.lit(SPAN - 1)), lambda o: F.get(w, at + o))
-
-
-def benchmark_fingerprints(items: DataFrame) -> DataFrame:
-    """fp, the 15 words around it and the ids of the items that hold them there."""
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), letter_words(F.col("text")).alias("w")).where(F.size("w") >= SPAN)
-    v = rows.withColumn("v", _packed(F.col("w")))
-    windows = v.select("item_id", "w", "v", F.explode(F.sequence(F.lit(0), F.size("w") - SPAN)).alias("i"))
-    low = F.array_min(F.transform(F.slice("v", F.col("i") + 1, F.lit(REACH + 1)), lambda x: x.bitwiseAND(F.lit(-8))))
-    chosen = windows.withColumn("low", low).select("item_id", "w", "v", "low", F.explode(F.sequence(F.col("i"), F.col("i") + REACH)).alias("q")).where(F.get("v", F.col("q")).bitwiseAND(F.lit(-8)) == F.col("low"))
-    return chosen.select(F.col("low").alias("fp"), _around(F.col("w"), F.col("q")).alias("ctx"), "item_id").groupBy("fp", "ctx").agg(F.collect_set("item_id").alias("items"))
-
-
-def short_items(items: DataFrame) -> DataFrame:
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), letter_words(F.col("text")).alias("ctx")).where((F.size("ctx") < SPAN) & (F.size("ctx") > 0))
-    return rows.groupBy(F.xxhash64("ctx").alias("fp"), "ctx").agg(F.collect_set("item_id").alias("items"))
-
-
-def _blocks(table: DataFrame) -> list[DataFrame]:
-    n = -(-table.count() // BLOCK)
-    return [F.broadcast(table.where(F.pmod("fp", F.lit(n)) == k)) for k in range(n)]
-
-
-def _long_hits(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, hw, s, e, items for docs (doc_id, w).
-
-    Probes carry no words: a generator copies what it carries into each of its rows. Words meet the hits again.
-    """
-    probes = docs.select("doc_id", F.xxhash64("w").alias("hw"), F.posexplode_outer(_minima(F.col("w"))).alias("i", "m"))
-    hit = probes.withColumn("fp", F.col("m").bitwiseAND(F.lit(-8))).join(prints, "fp")
-    at = F.col("i") + F.pmod(F.col("m").bitwiseAND(F.lit(7)).cast("int") - F.col("i"), F.lit(8))
-    seeds = scratch.write(hit.select(F.col("doc_id").alias("s_id"), F.col("hw").alias("s_hw"), at.alias("at"), "ctx", "items").distinct(), "seeds")
-    hit = docs.withColumn("hw", F.xxhash64("w")).join(broadcast_if_small(seeds, BLOCK), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hw") == F.col("s_hw")))
-    same = F.transform(F.sequence(F.lit(0), F.lit(GRAM + 2 * REACH - 1)), lambda o: F.coalesce(F.get("w", F.col("at") + o - REACH) == F.get("ctx", o), F.lit(False)))
-    run = lambda a: F.when(F.array_position(a, False) == 0, REACH).otherwise(F.array_position(a, False) - 1).cast("int")
-    ext = hit.withColumn("eq", same).where(~F.array_contains(F.slice("eq", REACH + 1, GRAM), False))
-    ext = ext.withColumn("l", run(F.reverse(F.slice("eq", 1, REACH)))).withColumn("r", run(F.slice("eq", REACH + GRAM + 1, REACH))).where(F.col("l") + F.col("r") + GRAM >= SPAN)
-    return ext.select("doc_id", "hw", (F.col("at") - F.col("l")).alias("s"), (F.col("at") + GRAM + F.col("r")).alias("e"), "items")
-
-
-def _short_hits(docs: DataFrame, shorts: DataFrame, sizes: list[int]) -> DataFrame:
-    of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(F.slice("w", i + 1, F.lit(n))).alias("fp"), i.alias("i"), F.lit(n).alias("n"))))
-    probes = docs.select("doc_id", "w", F.explode_outer(F.flatten(F.array_compact(F.array(*map(of, sizes))))).alias("x"))
-    hit = probes.withColumn("fp", F.col("x.fp")).join(shorts, "fp").where(F.slice("w", F.col("x.i") + 1, F.col("x.n")) == F.col("ctx"))
-    return hit.select("doc_id", F.xxhash64("w").alias("hw"), F.col("x.i").alias("s"), (F.col("x.i") + F.col("x.n")).alias("e"), "items")
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """item_id, win (the words of a window) and wh (their hash), distinct."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), letter_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - SPAN, F.lit(0)), F.lit(PIECE)), lambda at: F.slice("w", at + 1, F.lit(PIECE + SPAN - 1)))
+    pieces = rows.select("item_id", F.explode(cut).alias("w"))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - SPAN, F.lit(0))), lambda at: F.slice("w", at + 1, F.lit(SPAN)))
+    return pieces.select("item_id", F.explode(each).alias("win")).withColumn("wh", F.xxhash64("win")).distinct()
+
+
+def _places(words: DataFrame, windows: DataFrame, sizes: list[int], scratch: Scratch) -> DataFrame:
+    """doc_id, hw and the places (at, and n: words from there) where a window of the benchmark may stand."""
+    found = []
+    if SPAN in sizes:
+        prints = windows.where(F.size("win") == SPAN).select(F.explode(_minima(F.col("win"))).alias("m")).select(F.col("m").bitwiseAND(F.lit(-8)).alias("fp")).distinct()
+        prints = broadcast_if_small(scratch.write(prints, "prints"), 32)
+        probes = words.select("doc_id", "hw", F.posexplode_outer(_minima(F.col("w"))).alias("i", "m"))
+        place = F.col("i") + F.pmod(F.col("m").bitwiseAND(F.lit(7)).cast("int") - F.col("i"), F.lit(8))
+        hit = probes.withColumn("fp", F.col("m").bitwiseAND(F.lit(-8))).join(prints, "fp", "left_semi").select("doc_id", "hw", place.alias("at")).distinct()
+        around = F.explode(F.sequence(F.greatest(F.col("at") - REACH, F.lit(0)), F.col("at")))
+        found.append(hit.select("doc_id", "hw", around.alias("at")).distinct().withColumn("n", F.lit(SPAN)))
+    short = [n for n in sizes if n < SPAN]
+    if short:
+        of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(F.slice("w", i + 1, F.lit(n))).alias("wh"), i.alias("at"), F.lit(n).alias("n"))))
+        probes = words.select("doc_id", "hw", F.explode_outer(F.flatten(F.array_compact(F.array(*map(of, short))))).alias("x")).select("doc_id", "hw", "x.*")
+        keys = broadcast_if_small(scratch.write(windows.where(F.size("win") < SPAN).select("wh").distinct(), "short"), 32)
+        found.append(probes.join(keys, "wh", "left_semi").select("doc_id", "hw", "at", "n"))
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return every.groupBy("doc_id", "hw").agg(F.collect_list(F.struct("at", "n")).alias("places"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per distinct (doc_id, words) with hits: doc_id, hw (hash of the words), spans (start, end of word runs), items."""
     scratch = Scratch(docs.sparkSession)
-    words = docs.select("doc_id", letter_words(F.col("text")).alias("w"))
-    prints, shorts = scratch.write(benchmark_fingerprints(benchmark), "prints"), scratch.write(short_items(benchmark), "short")
-    sizes = sorted(r[0] for r in shorts.select(F.size("ctx")).distinct().collect())  # nine values at most
-    found = [_long_hits(words, b, scratch) for b in _blocks(prints)] + [_short_hits(words, b, sizes) for b in _blocks(shorts)]
-    if not found:
-        found = [docs.sparkSession.createDataFrame([], docs.select("doc_id", F.lit(0).cast("long").alias("hw"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.array().cast("array<string>").alias("items")).schema)]
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("doc_id", "hw").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    words = docs.select("doc_id", letter_words(F.col("text")).alias("w")).withColumn("hw", F.xxhash64("w"))  # before any generator, which would copy the words into its rows to have the hash after it
+    holders = scratch.write(benchmark_windows(benchmark), "holders")
+    sizes = sorted(r[0] for r in holders.select(F.size("win")).distinct().collect())  # ten values at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id", F.lit(0).cast("long").alias("hw"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<string>").alias("items")).schema)
+    windows = scratch.write(holders.select("wh", "win").distinct(), "windows")
+    places = scratch.write(_places(words, windows, sizes, scratch), "places")
+    key_bytes = 64 + F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)) + 16 * F.size("places")
+    places = broadcast_if_small(places, key_bytes).withColumnsRenamed({"doc_id": "s_id", "hw": "s_hw"})
+    own = words.join(places, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hw") == F.col("s_hw")))
+    each = F.transform("places", lambda x: F.struct(x["at"].alias("s"), x["n"].alias("n"), F.slice("w", x["at"] + 1, x["n"]).alias("win")))
+    spans = own.select("doc_id", "hw", F.explode(each).alias("x")).select("doc_id", "hw", "x.*").where(F.size("win") == F.col("n")).distinct().withColumn("wh", F.xxhash64("win"))
+    found = scratch.write(spans.join(broadcast_if_small(windows, 64 + text_bytes(F.col("win"))), ["wh", "win"]), "found")
+    runs = found.groupBy("doc_id", "hw").agg(F.sort_array(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).alias("spans"))
+    named = found.select("doc_id", "hw", "wh", "win").distinct().join(holders.where("item_id IS NOT NULL"), ["wh", "win"]).select("doc_id", "hw", "item_id").distinct()
+    items = named.groupBy(F.col("doc_id").alias("i_id"), F.col("hw").alias("i_hw")).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    both = runs.join(items, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("hw") == F.col("i_hw")), "left")
+    return both.select("doc_id", "hw", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def covered(spans: Column) -> Column:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import licenses, line_templates, minhash, pieces, quality, repeats, secret_scan, token_store, url_rules, winnowing
+from spanloom.llm import common, licenses, line_templates, minhash, pieces, quality, repeats, secret_scan, token_store, url_rules, winnowing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, n_words string, leaf string, band string, key string, th string, n string, s string"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,48 +114,77 @@ def test_quality_fences_decide(spark):
     assert all(any(share(bad, m) <= share(200 + i, m) for i in range(40)) for bad, m in ((100, "word_chars"), (101, "n_symbols"), (103, "n_dup_lines")))
 
 
-def test_line_templates(spark, docs, rows, empty):
-    seen, lines = {}, {}
+def line_dedup(rows):
+    """Brute force: the texts of (doc_id, text) rows without the lines that recur."""
+    lines = {}
     for i, t in dict.fromkeys(rows):
-        for k, raw in enumerate((t or "").split("\n") if t is not None else []):
-            masked = re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", raw)
-            f = masked.split(" ")
-            if len(f) >= 5:
-                lines[(i, t, k)] = tuple(f)
-    leaves = {}
-    for f in lines.values():
-        leaves.setdefault((len(f), f[0], f[1]), []).append(f)
-    trees = {}
-    for leaf, own in leaves.items():
-        if len(set(own)) > 1:
-            const = {p: x for p in range(leaf[0]) for x in {f[p] for f in own} if 2 * sum(f[p] == x for f in own) > len(own)}
-            if 10 * len(const) >= 7 * leaf[0]:
-                trees[leaf] = const
-    for (i, t, k), f in lines.items():
-        leaf = (len(f), f[0], f[1])
-        fits = leaf in trees and all(f[p] == x for p, x in trees[leaf].items())
-        seen.setdefault(leaf if fits else f, []).append((i, t, k))
-    gone = set()
-    for at in seen.values():
-        if len({x[:2] for x in at}) > 1:
+        for k, raw in enumerate(t.split("\n") if t is not None else []):
+            f = tuple(re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", raw).split(" "))
+            if len(f) >= 5 or re.search(r"[A-Za-z]|[^\x00-\x7F]", raw):
+                lines[(i, t, k)] = f if len(f) >= 5 else raw
+    nodes, template = {}, {}
+    for f in set(lines.values()):
+        if isinstance(f, tuple):
+            nodes.setdefault((len(f), *f[:2]), []).append(f)
+    for again in range(3):
+        below = {}
+        for node, own in nodes.items():
+            if len(own) < 2:
+                continue
+            n = node[0]
+            const = {p: x for p in range(n) for x in {f[p] for f in own} if 2 * sum(f[p] == x for f in own) > len(own)}
+            split = min((len({f[p] for f in own}), p) for p in range(n) if len({f[p] for f in own}) > 1)[1]
+            for f in own:
+                if 10 * len(const) < 7 * n:
+                    below.setdefault((*node, split, f[split]), []).append(f)
+                elif all(f[p] == x for p, x in const.items()):
+                    template[f] = (again, node)
+                else:
+                    below.setdefault(node, []).append(f)
+        nodes = below
+    seen, gone = {}, set()
+    for at, f in lines.items():
+        seen.setdefault(template.get(f, f), []).append(at)
+    for key, at in seen.items():
+        short = isinstance(key, str) and len(key.encode()) < 40
+        if len({x[:2] for x in at}) >= (max(10, -(-len(rows) // 1000)) if short else 2):
             first = min(at, key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
             gone |= {x for x in at if x != first}
-    want = [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone)) for i, t in rows]
+    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone)) for i, t in rows], len(gone)
+
+
+def test_line_templates(spark, docs, rows, empty):
+    want, n_gone = line_dedup(rows)
     assert ordered(tuple(r) for r in line_templates.deduplicated(docs).select("doc_id", "text").collect()) == ordered(want)
-    assert len(gone) > 5
+    assert n_gone > 5
     out = line_templates.drop_templates(docs)
     assert out.columns == docs.columns and 0 < out.count() <= len(rows)
     assert line_templates.deduplicated(empty).count() == 0
 
 
+def test_line_templates_of_one_leaf(spark):
+    """Several templates in one leaf, one of them hot, are all found; so are those of random lines."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    kinds = [lambda: f"Node status was set to ready by {name()} today", lambda: f"Node status has gone from {name()} over into down", lambda: f"Node status can not be read at host {name()}"]
+    found = [(i, "\n".join([f"own text {name()} of {name()}", kinds[i % 3](), *["Node status has gone from hothot over into down"] * (5 * (i % 3 == 1))])) for i in range(40)]
+    words = ["Node", "status", "a", "b", "c", "d"]
+    found += [(100 + i, "\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([5, 6, 7]))) for _ in range(6))) for i in range(60)]
+    docs = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in line_templates.drop_templates(docs).collect())
+    want = [(i, t) for i, t in line_dedup(found)[0] if t.strip()]
+    assert got == want
+    assert sum("Node status" in t for i, t in got if 2 < i < 100) == 0
+
+
 def test_line_templates_drops_common_short_lines(spark):
     """Lines of few fields go where they recur in many documents, long ones in two; others stay, also with other digits."""
     cjk, row = "".join(chr(0x4E00 + i) for i in range(15)), "alpha\tbeta\tgamma\tdelta\tepsilon\tzeta\teta\ttheta"
     found = [(i, "\n".join([f"own{i}", *["All rights reserved."] * 2, "", "}", f"Page {i}", *["Rare words."] * (i < 9), *[cjk, row] * (i < 2)])) for i in range(12)]
     docs = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
     want = [(i, "\n".join([f"own{i}", *["All rights reserved."] * (i == 0), "", "}", f"Page {i}", *["Rare words."] * (i < 9), *[cjk, row] * (i < 1)])) for i in range(12)]
-    assert sorted(tuple(r) for r in line_templates.drop_templates(docs).collect()) == want
-    assert {r.text for r in line_templates.deduplicated(docs).collect()} == {t for _, t in found}
+    assert sorted(tuple(r) for r in line_templates.drop_templates(docs).collect()) == want == line_dedup(found)[0]
+    assert sorted(tuple(r) for r in line_templates.deduplicated(docs).select("doc_id", "text").collect()) == want
 
 
 @pytest.mark.parametrize("k", [4, 5])
@@ -203,7 +232,11 @@ def test_minhash_near_misses_keep_every_link(spark, monkeypatch, task):
     assert sorted(tuple(r) for r in minhash.linked(df, 4).select("doc_id", "component_id").collect()) == list(enumerate(top))
 
 
-def test_winnowing(spark, docs, rows, empty):
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_winnowing(spark, docs, rows, empty, monkeypatch, most):
+    """Also with nothing broadcast, and items in small pieces."""
+    monkeypatch.setattr(winnowing, "broadcast_if_small", lambda df, width: common.broadcast_if_small(df, width, most))
+    monkeypatch.setattr(winnowing, "PIECE", 7 if most == 0 else 4096)
     base = texts()[4]
     items = [(1, base[:300]), (2, base[:300].upper()), (3, None), (4, "mit license"), (5, "aa " * 40), (6, texts()[7][5000:5200]), (None, "some words"), (7, "Two, words!")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, w string")
@@ -227,6 +260,19 @@ def test_winnowing(spark, docs, rows, empty):
     assert winnowing.contamination(docs, bench.limit(0)).where("spans IS NOT NULL").count() == 0
 
 
+def test_winnowing_of_long_items(spark):
+    """An item and a document of 100 000 words, one passage in both; every place of a document full of hits."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    long = [rng.choice(words) for _ in range(100_000)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, "a b c")], "item_id long, text string")
+    found = [(1, " ".join([rng.choice(words) for _ in range(60_000)] + long[4000:4050] + [rng.choice(words) for _ in range(40_000)])), (2, " ".join(long)), (3, "a b c " * 20_000), (4, " ".join(long[70:79]))]
+    docs = spark.createDataFrame(found, "doc_id long, text string")
+    got = {r.doc_id: (r.n, r["items"]) for r in winnowing.contamination(docs, bench).withColumn("n", F.coalesce(winnowing.covered(F.col("spans")), F.lit(0))).collect()}
+    assert got[1][1] == got[2][1] == ["1"] and 50 <= got[1][0] <= 60
+    assert got[2][0] == 100_000 and got[3] == (60_000, ["2"]) and got[4] == (0, None)
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/7?x", "https://EXAMPLE.com/en/70", "http://com/en/", "http://notcom/en/", "x://b.example.net/de/81#t", "ftp://c.net/de/8", None, "", "no scheme", "http://", "http://org/es/a", "http://org?/es/", "a://b://c/en/", "http://é.com/en/ü"] * 2
     pages = spark.createDataFrame([(i, u, "q") for i, u in enumerate(urls)], "page_id long, url string, host string").select("page_id", "url")
@@ -267,16 +313,81 @@ def test_elias_fano():
         assert e.all().tolist() == v.tolist() == [e[i] for i in range(n)]
 
 
-def test_secrets(docs, rows, empty):
-    got = {(r.doc_id, len(r.spans)) for r in secret_scan.scan(docs).collect()}
-    assert got == {(i, len(secret_scan.spans_of(t)) if t else 0) for i, t in rows}
-    text = 'key_part = "Zx81kQpL09vB"\nauth_token = key_part\nk: "plain words"'
-    assert [text[s:e] for s, k, e in secret_scan.spans_of(text) if k == 3] == ["Zx81kQpL09vB"]
-    assert [(k, e - s) for s, k, e in secret_scan.spans_of("é API_KEY: 'abcdef123456' tokEn=short AKIA1 0123456789abcdef")] == [(0, 22), (3, 12), (2, 16)]
+#: Source and configuration text, and the literals in it that are secrets.
+SECRET_CASES = [
+    ("<password>Tr0ub4dor&3xyz</password>", ["Tr0ub4dor&3xyz"]),
+    ('secret = """Zx81kQpL\n09vBqqq"""', ["Zx81kQpL\n09vBqqq"]),
+    ('base = "Zx81kQpL"\nsecret = base + "09vB77"', ["Zx81kQpL", "09vB77"]),
+    ('key_part = "Zx81kQpL09vB"\nauth_token = key_part\nk: "plain words"', ["Zx81kQpL09vB"]),
+    ("auth_token = part1 + part2\npart1 = 'Zx81k'\npart2 = 'QpL09vB'", ["Zx81k", "QpL09vB"]),
+    ('api_token: str = "Zx81kQpL09vB"', ["Zx81kQpL09vB"]),
+    ('os.environ["AUTH_TOKEN"] = "Zx81kQpL09vB"', ["Zx81kQpL09vB"]),
+    ("don't use password = 'abc123XYZ!!' here", ["abc123XYZ!!"]),
+    ('{"user": "alice", "client_secret": "9f8e7d6c5b4a"}', ["9f8e7d6c5b4a"]),
+    ("mysql --password hunter2hunter2 --host db1.internal99", ["hunter2hunter2"]),
+    ('token = (\n  "abcd1234"\n  "efgh5678"\n)', ["abcd1234", "efgh5678"]),
+    ('password = b64decode("aHVudGVyMmh1bnRlcjI=")', ["aHVudGVyMmh1bnRlcjI="]),
+    ("db:\n  password: hunter2hunter2\n  port: 5432", ["hunter2hunter2"]),
+    ("a = b\nb = a\npassword = a + 'Zx81kQpL0'", ["Zx81kQpL0"]),
+    ("self.token = self.seed\nself.seed = 'q9w8e7r6t5'", ["q9w8e7r6t5"]),
+    ("const apiKey = process.env.KEY || 'k1j2h3g4f5d6'", ["k1j2h3g4f5d6"]),
+    ('private_key := "-----x9y8z7w6v5"', ["-----x9y8z7w6v5"]),
+    ('key_name = "monkeybusiness99x"', []),
+    ("pass_rate: 0.99887766", []),
+    ('token_count = "1234567890ab"', []),
+    ('password_prompt = "Type it twice, please"', []),
+    ('password = "your-password-here"', []),
+    ('token = get_token("abcdefgh1234")', []),
+    ("x == password, y <= secret", []),
+    ('author = "Jonathan Q. Public 1987"', []),
+    ("password: see http://host/page", []),
+    ("secret: none, token: true, api_key: null", []),
+]
+
+
+def test_secret_lexer():
+    """All labelled literals, and no others."""
+    for text, want in SECRET_CASES:
+        assert sorted(text[s:e] for s, k, e in secret_scan.spans_of(text) if k == 3) == sorted(want), text
+    together = "\n".join(t for t, _ in SECRET_CASES if "part" not in t and "a = b" not in t)
+    want = sorted(x for t, own in SECRET_CASES if "part" not in t and "a = b" not in t for x in own)
+    assert sorted(together[s:e] for s, k, e in secret_scan.spans_of(together) if k == 3) == want
+    chain = 'k0 = "Zx81kQpL"\n' + "".join(f"k{i} = k{i - 1} + k{i - 1}\n" for i in range(1, 3000)) + "password = k2999"
+    assert [chain[s:e] for s, e in secret_scan.lexed_spans(chain)] == ["Zx81kQpL"]
+    for text in ('password "', "<password>", "password: a ", '"""', 'password["', "password = (", "token = x + \n"):
+        assert secret_scan.lexed_spans(text * 50_000) == []
+
+
+def base_spans(t):
+    """Brute force of the base spans: every pattern at every place."""
+    found = []
+    kinds = [(re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12), (re.compile("(AKIA[A-Z0-9]+)"), 18), (re.compile("([0-9a-f]+)"), 16)]
+    for k, (pattern, least) in enumerate(kinds):
+        at = 0
+        while at < len(t):
+            m = pattern.match(t, at)
+            if m and len(m[1]) >= least:
+                found.append((m.start(), k, m.end()))
+            at = m.end() if m else at + 1
+    return sorted(found)
+
+
+def test_secrets(spark, docs, rows, empty, tmp_path):
+    names = ("assign", "access", "hex", "lexed")
+    got = [(r.doc_id, [(x.start, names.index(x.kind), x.end) for x in r.spans if x.kind != "lexed"]) for r in secret_scan.scan(docs).collect()]
+    assert ordered(got) == ordered((i, base_spans(t or "")) for i, t in rows)
+    rng = random.Random(3)
+    odd = ["".join(rng.choice(["password", "ToKen", "apikey", "API_key", " ", "=", ":", "'", '"', "AKIA", "ABC0", "deadbeef", "0a", "é", "\n"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    assert all([x for x in secret_scan.spans_of(t) if x[1] < 3] == base_spans(t) for t in odd)
+    assert [(k, e - s) for s, k, e in secret_scan.spans_of("é API_KEY: 'abcdef123456' tokEn=short AKIA1 0123456789abcdef") if k < 3] == [(0, 22), (2, 16)]
     assert secret_scan.scan(empty).count() == 0
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    shown = lambda spans: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
+    want = [(i, *[sum(x[1] == k for x in base_spans(t or "")) for k in range(3)], hashlib.sha256(shown(base_spans(t or "")).encode()).hexdigest(), shown(sorted({*base_spans(t or ""), *((s, 3, e) for s, e in secret_scan.lexed_spans(t or ""))}))) for i, t in rows]
+    assert ordered(tuple(r) for r in secret_scan.query(spark, str(tmp_path)).collect()) == ordered(want)
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [2_000, 0])
 def test_repeats(docs, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     data = [(t or "").encode() for _, t in rows]
@@ -309,7 +420,7 @@ def test_loser_tree():
         assert [x[0] for x in got] == [repeats.shared(a, b) for a, b in zip([b"", *want], want)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [2_000, 0])
 def test_repeats_of_many_kinds(spark, monkeypatch, hot):
     """Passages with other neighbours and small changes, in several runs; also with every gram hot."""
     monkeypatch.setattr(repeats, "HOT", hot)
@@ -378,7 +489,9 @@ def test_pieces(docs, rows, empty):
     assert pieces.encoded(empty, model).count() == 0
 
 
-def test_licenses(docs, rows, empty):
+def test_licenses(spark, docs, rows, empty):
+    many = "Released under the MIT license or the GPL, all rights reserved. " * 400
+    rows, docs = [*rows, (500, many)], docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500, many)], "doc_id long, text string"))
     rules = [(p, label, s, re.compile(r)) for label, _, forms in licenses.signatures() for p, s, r in forms]
     want = []
     for i, t in rows:
