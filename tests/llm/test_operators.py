@@ -10,15 +10,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from brute import LETTER, SPACE, line_dedup, low, quality_counts, quality_verdicts
 from spanloom.llm import common, licenses, line_templates, minhash, pieces, quality, repeats, secret_scan, token_store, url_rules, winnowing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, n_words string, leaf string, band string, key string, th string, n string, s string"
-SPACE = re.compile(r"[^\x20\x09-\x0D]+")
-LETTER = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def low(t):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
 def texts():
@@ -58,38 +53,11 @@ def ordered(found):
     return sorted(found, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-def bucket(v):
-    low = max(v.bit_length() - 6, 0)
-    return v >> low << low
-
-
-def quality_verdicts(found):
-    """Brute force of kept for (group, words, symbols, lines with words, duplicate lines, word characters, base_failed) rows."""
-    metrics = [{"len": 100 * chars // max(n, 1), "sym": 1000 * sym // max(n, 1), "dup": 1000 * dup // max(lines, 1)} for _, n, sym, lines, dup, chars, _ in found]
-    ranges = {}
-    for group in {r[0] for r in found}:
-        for k in ("len", "sym", "dup"):
-            own = sorted(bucket(m[k]) for r, m in zip(found, metrics, strict=True) if r[0] == group and r[1] >= 50)
-            if own:
-                q1, q2, q3 = (own[-(-len(own) * j // 4) - 1] for j in (1, 2, 3))
-                wide = 3 * max(q3 - q1, {"len": q2 // 8, "sym": 50, "dup": 100}[k])
-                ranges[group, k] = q1 - wide, q3 + wide
-    return [not r[6] and all(ranges[r[0], k][0] <= v <= ranges[r[0], k][1] for k, v in m.items()) for r, m in zip(found, metrics, strict=True)]
-
-
 def test_quality(docs, rows, empty):
-    want, inputs = [], []
-    for i, t in rows:
-        t = t or ""
-        w = SPACE.findall(t)
-        grams = {}
-        for k in range(len(w) - 2):
-            grams.setdefault(tuple(w[k : k + 3]), []).append(k)
-        hit = {k + d for at in grams.values() if len(at) > 1 for k in at for d in range(3)}
-        lines = [x for x in t.split("\n") if SPACE.search(x)]
-        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)))
-        inputs.append(((None if (i or 0) % 5 == 0 else "en", None if i == 3 else "s"), want[-1][1], want[-1][3], len(lines), want[-1][4], want[-1][2], want[-1][6]))
-    want = [(*r, kept) for r, kept in zip(want, quality_verdicts(inputs), strict=True)]
+    counted = [quality_counts(t) for _, t in rows]
+    groups = [(None if (i or 0) % 5 == 0 else "en", None if i == 3 else "s") for i, _ in rows]
+    kept = quality_verdicts([(g, c) for g, c in zip(groups, counted, strict=True)])
+    want = [(i, c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"], c["base_failed"], k) for (i, _), c, k in zip(rows, counted, kept, strict=True)]
     judged = quality.judge(docs)
     got = [tuple(r) for r in judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()]
     assert ordered(got) == ordered(want)
@@ -114,45 +82,6 @@ def test_quality_fences_decide(spark):
     assert all(any(share(bad, m) <= share(200 + i, m) for i in range(40)) for bad, m in ((100, "word_chars"), (101, "n_symbols"), (103, "n_dup_lines")))
 
 
-def line_dedup(rows):
-    """Brute force: the texts of (doc_id, text) rows without the lines that recur."""
-    lines = {}
-    for i, t in dict.fromkeys(rows):
-        for k, raw in enumerate(t.split("\n") if t is not None else []):
-            f = tuple(re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", raw).split(" "))
-            if len(f) >= 5 or re.search(r"[A-Za-z]|[^\x00-\x7F]", raw):
-                lines[(i, t, k)] = f if len(f) >= 5 else raw
-    nodes, template = {}, {}
-    for f in set(lines.values()):
-        if isinstance(f, tuple):
-            nodes.setdefault((len(f), *f[:2]), []).append(f)
-    for again in range(3):
-        below = {}
-        for node, own in nodes.items():
-            if len(own) < 2:
-                continue
-            n = node[0]
-            const = {p: x for p in range(n) for x in {f[p] for f in own} if 2 * sum(f[p] == x for f in own) > len(own)}
-            split = min((len({f[p] for f in own}), p) for p in range(n) if len({f[p] for f in own}) > 1)[1]
-            for f in own:
-                if 10 * len(const) < 7 * n:
-                    below.setdefault((*node, split, f[split]), []).append(f)
-                elif all(f[p] == x for p, x in const.items()):
-                    template[f] = (again, node)
-                else:
-                    below.setdefault(node, []).append(f)
-        nodes = below
-    seen, gone = {}, set()
-    for at, f in lines.items():
-        seen.setdefault(template.get(f, f), []).append(at)
-    for key, at in seen.items():
-        short = isinstance(key, str) and len(key.encode()) < 40
-        if len({x[:2] for x in at}) >= (max(10, -(-len(rows) // 1000)) if short else 2):
-            first = min(at, key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
-            gone |= {x for x in at if x != first}
-    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone)) for i, t in rows], len(gone)
-
-
 def test_line_templates(spark, docs, rows, empty):
     want, n_gone = line_dedup(rows)
     assert ordered(tuple(r) for r in line_templates.deduplicated(docs).select("doc_id", "text").collect()) == ordered(want)
@@ -162,8 +91,10 @@ def test_line_templates(spark, docs, rows, empty):
     assert line_templates.deduplicated(empty).count() == 0
 
 
-def test_line_templates_of_one_leaf(spark):
-    """Several templates in one leaf, one of them hot, are all found; so are those of random lines."""
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_line_templates_of_one_leaf(spark, monkeypatch, hot):
+    """Several templates in one leaf, one of them hot, are all found; so are those of random lines; also with nodes counted in many tasks."""
+    monkeypatch.setattr(line_templates, "HOT", hot)
     rng = random.Random(9)
     name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     kinds = [lambda: f"Node status was set to ready by {name()} today", lambda: f"Node status has gone from {name()} over into down", lambda: f"Node status can not be read at host {name()}"]
@@ -291,6 +222,27 @@ def test_url_rules(spark):
     assert url_rules.judge(pages, rules.limit(0)).where("rule IS NOT NULL").count() == 0
 
 
+def test_url_rules_nest_and_scale(spark):
+    """Many nested rules over many cells against brute force, then 100 000 rules."""
+    rng = random.Random(5)
+    names = ["a", "b", "ab", "x"]
+    host = lambda: ".".join(rng.choice(names) for _ in range(rng.randrange(1, 4)))
+    path = lambda: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(6)))
+    rules = list({(host(), path()): rng.choice(["allow", "block"]) for _ in range(300)}.items())
+    urls = list({f"s://{host()}{path()}" for _ in range(1500)})
+    pages = spark.createDataFrame([(u,) for u in urls], "url string").repartition(3)
+    got = {r.url: (r.rule, r.verdict) for r in url_rules.judge(pages, spark.createDataFrame([(h, p, v) for (h, p), v in rules], "host string, path string, verdict string"), "none").collect()}
+    for u in urls:
+        h, p = re.match(r"s://([^/]*)(.*)", u).groups()
+        fits = [(-len(rh + rp), rh + rp, v) for (rh, rp), v in rules if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        least = min((x[:2] for x in fits), default=(0, None))
+        assert got[u][0] == least[1] and (got[u][1] in {x[2] for x in fits if x[:2] == least} or not fits and got[u][1] == "none"), u
+    many = spark.range(100_000).selectExpr("concat('h', id % 1000, '.com') AS host", "concat('/p', id div 1000, '/') AS path", "'block' AS verdict")
+    wide = spark.range(20_000).selectExpr("concat('http://w.h', id % 1000, '.com/p', id % 150, '/q') AS url")
+    judged = url_rules.judge(wide, many)
+    assert judged.where("verdict = 'block'").count() == wide.distinct().where("int(regexp_extract(url, '/p([0-9]+)', 1)) < 100").count()
+
+
 def test_token_store(spark, docs, rows, empty, tmp_path):
     model = public_tokenizers.path(token_store.MODEL)
     token_store.write(docs, f"file://{tmp_path}/t", model)
@@ -310,7 +262,25 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 0), (1, 10**12), (700, 3), (700, 10**9), (3000, 3000)):
         v = np.sort(rng.integers(0, top + 1, n))
         e = token_store.EliasFano.from_bytes(memoryview(token_store.EliasFano.of(v).to_bytes()))
-        assert e.all().tolist() == v.tolist() == [e[i] for i in range(n)]
+        assert e.select(0, n).tolist() == v.tolist() == [e[i] for i in range(n)]
+        for _ in range(20):
+            a, b = rng.integers(-5, n + 300), rng.integers(-5, n + 300)
+            assert e.select(int(a), int(b)).tolist() == v[max(int(a), 0) : max(int(b), 0)].tolist()
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_shard_of_many_documents(monkeypatch, block):
+    monkeypatch.setattr(token_store, "BLOCK", block)
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 9, 1000)
+    ids = rng.integers(0, 49_000, counts.sum()).astype("<u2")
+    names = [None] * 5 + sorted(int(x) for x in rng.integers(0, 10**12, 990)) + [10**12 + 7] * 5
+    data = token_store.pack(3, 1, names, counts, ids.tobytes(), 2)
+    rows = [r for b in token_store._documents([pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["content"])]) for r in b.to_pylist()]
+    at = np.concatenate([[0], np.cumsum(counts)])
+    assert [(r["doc_id"], r["local"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(d, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())) for d, a, b in zip(names, at[:-1].tolist(), at[1:].tolist())]
 
 
 #: Source and configuration text, and the literals in it that are secrets.
@@ -483,6 +453,8 @@ def test_pieces(docs, rows, empty):
     odd = ["".join(rng.choice("aabeth  \n\t▁é中🙂'K.") for _ in range(rng.choice([1, 9, 200]))) for _ in range(300)]
     got = pieces.Encoder(model).encode(odd)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == sp.encode(odd)
+    long = ["".join(rng.choice("abehilnorst中文字是的") for _ in range(3000)), "x" * 5000, "ab" * 2000, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4000)), "".join(rng.choice("ACGT") for _ in range(200_000))]
+    assert [np.frombuffer(g, "<u2").tolist() for g in pieces.Encoder(model).encode(long)] == sp.encode(long)
     found = pieces.encoded(docs, model).collect()
     assert ordered((r.doc_id, r["ids"]) for r in found) == ordered((i, sp.encode(t or "")) for i, t in rows)
     assert all(r.round_trip for r in found)
