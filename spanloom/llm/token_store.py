@@ -12,7 +12,7 @@ the high bits in unary; the place of every 256th set bit is sampled (u32), so
 select finds a value by reading at most a few bytes. That is about
 2 + log2(mean length) bits a document, where a table of offsets takes 64.
 
-Writing: documents are dealt by ranges of doc_id, sorted inside each, encoded by
+Writing: documents are dealt by ranges of doc_id (and, so that a repeated or null id is split, a hash of the text), sorted inside each, encoded by
 an Arrow map and cut into shards of at most SHARD_IDS ids; Spark's own committer
 writes each shard as a file, so lost executors and speculative tasks leave nothing
 half written. (The text writer adds one newline, which readers ignore.) The
@@ -42,6 +42,8 @@ MAGIC = b"SLTS1"
 HEAD = struct.Struct("<BIIQQQqQQ")
 SHARD_IDS = 16_000_000
 SAMPLE = 256
+#: Documents whose bounds are looked up at once.
+BLOCK = 4096
 #: Chunks whose ids a worker remembers; past that it starts anew.
 CACHE = 500_000
 #: Closing punctuation that the tokenizer splits off letters.
@@ -99,13 +101,21 @@ class EliasFano:
             byte &= byte - 1
         return (((at << 3) + (byte & -byte).bit_length() - 1 - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        value = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
+    def select(self, first: int, last: int) -> np.ndarray:
+        """The values first to last (not included), from the sample before the first one to the one after the last."""
+        first, last = max(first, 0), min(last, self.n)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        place, after = int(self.samples[first // SAMPLE]), (last - 1) // SAMPLE + 1
+        at, end = place >> 3, (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at:end], bitorder="little")) + 8 * at
+        ones = ones[ones >= place][first % SAMPLE : first % SAMPLE + last - first]
+        value = (ones - np.arange(first, last)).astype(np.int64) << self.low_bits
         if self.low_bits:
-            rows = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+            start, stop = first * self.low_bits, last * self.low_bits
+            bits = np.unpackbits(self.low[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 :][: stop - start].reshape(last - first, self.low_bits)
             for b in range(self.low_bits):
-                value |= rows[:, b].astype(np.int64) << b
+                value |= bits[:, b].astype(np.int64) << b
         return value
 
 
@@ -130,8 +140,10 @@ class Shard:
         self._names = EliasFano.from_bytes(view[at + n_bounds : at + n_bounds + n_names])
         self.ids = np.frombuffer(view, f"<u{width}", self.n_ids, at + n_bounds + n_names)
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self._names.all() + self.first).tolist()
+    def doc_ids(self, first: int, last: int) -> list:
+        """The ids of documents first to last (not included)."""
+        known = self._names.select(first - self.nulls, last - self.nulls) + self.first
+        return [None] * (min(last, self.n_docs) - first - len(known)) + known.tolist()
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds[i] : self.bounds[i + 1]]
@@ -261,28 +273,32 @@ def _writer(model: str):
 def write(docs: DataFrame, path: str, model: str) -> None:
     """Writes the token files of docs (doc_id, text) below path."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("salt"), F.spark_partition_id().alias("place"))
+    ranged = own.repartitionByRange(n, "doc_id", "salt", "place").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
     shards = ranged.mapInArrow(_writer(model), "value binary")
     shards.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _documents(batches: Iterator) -> Iterator:
+    """Documents of each shard, BLOCK at a time: their bounds are selected, never all unpacked."""
     import pyarrow as pa
 
     for batch in batches:
         for data in batch.column(0):
             s = Shard(data.as_buffer().to_pybytes())
-            bounds = s.bounds.all()
-            crc = [zlib.crc32(s.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.n_docs, s.part, np.int32)), pa.array(np.full(s.n_docs, s.seq, np.int32)), pa.array(s.doc_ids(), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
+            for at in range(0, s.n_docs, BLOCK):
+                bounds = s.bounds.select(at, at + BLOCK + 1)
+                n = len(bounds) - 1
+                crc = [zlib.crc32(s.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s.part, np.int32)), pa.array(np.full(n, s.seq, np.int32)), pa.array(s.doc_ids(at, at + n), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files below path."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files below path; each file is read once."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
     own = files.select("content").mapInArrow(_documents, "part int, seq int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
-    le = lambda at, size: F.conv(F.array_join(F.reverse(F.expr(f"transform(sequence(0, {size - 1}), i -> hex(substring(content, {at + 1} + i, 1)))")), ""), 16, 10).cast("long")
-    table = files.select(le(6, 4).cast("int").alias("part"), le(10, 4).cast("int").alias("seq"), le(22, 8).alias("n_ids"))
+    own = Scratch(spark).write(own, "documents")
+    table = own.groupBy("part", "seq").agg(F.max(F.col("local") + F.col("n_tokens")).alias("n_ids"))
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = table.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))  # one row a shard file
     return own.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
