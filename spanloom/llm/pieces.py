@@ -6,11 +6,13 @@ prefix doubling up to the longest piece, every piece of the vocabulary is
 binary-searched for its range of suffixes (all pieces at once, one character
 after another), and the ranges give the edges of the batch: place, length,
 piece. Sorted by place they form a table of the best piece per place and
-length, over which the segments are relaxed.
+length. Where no edge crosses a place, nothing can be joined across it, so there the text is cut into runs,
+over which the edges are relaxed.
 
-The public model is a BPE model: its relaxation joins, in every segment at once,
+The public model is a BPE model: its relaxation joins, in every run at once,
 the adjacent pair whose joined piece has the best rank, leftmost first, until
-none is left; a unigram model would add costs along edges instead. Characters
+none is left; a unigram model would add costs along edges instead. In a run of more than LONG
+characters the pairs wait in a heap, as joining one pair a round would take too many rounds; the edges are the same. Characters
 without a piece become the bytes of their UTF-8 form. No piece reaches from one
 segment into another, so a segment is encoded once and remembered, up to a bound.
 
@@ -23,6 +25,7 @@ encoded row by row; other columns are ignored. Decoding gives the text back
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,7 +40,7 @@ MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 #: Segments a worker remembers; past that it starts anew.
 CACHE = 800_000
-#: Characters matched at once, and the longest segment relaxed together with others.
+#: Characters matched at once, and the longest run relaxed together with others.
 BLOCK, LONG = 1 << 20, 96
 NONE = np.int32(2**31 - 1)
 
@@ -143,7 +146,7 @@ class Encoder:
 
     def _relax(self, table: np.ndarray, start: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Joins pairs until none can be joined; start: of each symbol (a character at first), segment: its segment."""
-        length, done = np.ones(len(start), np.int64), []
+        length, done = np.ones(len(start), np.int64), [(start[:0], start[:0], segment[:0])]
         while len(start):
             joined = length[:-1] + length[1:]
             fits = (segment[:-1] == segment[1:]) & (joined <= self.pieces.longest)
@@ -167,17 +170,24 @@ class Encoder:
         order = np.argsort(s, kind="stable")
         return s[order], n[order], g[order]
 
-    def _long(self, segment: str) -> list[tuple[int, int]]:
-        """Start and length of one long segment's symbols; pairs wait in a heap."""
-        import heapq
-
-        rank, longest, n = self.pieces.rank, self.pieces.longest, len(segment)
+    def _runs(self, table: np.ndarray) -> np.ndarray:
+        """The run that each character of the matched text is in."""
+        n = len(table) - 1
+        far = np.ones(n, np.int64)
+        for length in range(2, table.shape[1] + 1):
+            far[table[:n, length - 1] != NONE] = length
+        reach = np.maximum.accumulate(np.arange(n) + far)
+        return np.cumsum(np.concatenate([[True], reach[:-1] <= np.arange(1, n)])) - 1
+
+    def _queued(self, table: np.ndarray, at: int, n: int) -> tuple[list[int], list[int]]:
+        """Starts and lengths of the symbols of one long run."""
         size, prev, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
+        longest, own = table.shape[1], table[at : at + n].tolist()
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (total := size[i] + size[j]) <= longest and (r := rank.get(segment[i : i + total])) is not None:
+            if j < n and (total := size[i] + size[j]) <= longest and (r := own[i][total - 1]) != NONE:
                 heapq.heappush(heap, (r, i, total))
 
         for i in range(n):
@@ -193,27 +203,34 @@ class Encoder:
             offer(i)
             if prev[i] >= 0:
                 offer(prev[i])
-        return [(i, size[i]) for i in range(n) if size[i]]
+        return [at + i for i in range(n) if size[i]], [x for x in size if x]
+
+    def _symbols(self, table: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of all symbols, in order."""
+        run = self._runs(table)
+        sizes = np.bincount(run)
+        short = inside & (sizes[run] <= LONG)
+        s, n, _ = self._relax(table, np.flatnonzero(short), run[short])
+        found = [(s, n)]
+        for at in np.flatnonzero(inside & ~short & np.concatenate([[True], run[1:] != run[:-1]])).tolist():
+            found.append(tuple(np.array(x, np.int64) for x in self._queued(table, at, int(sizes[run[at]]))))
+        if len(found) > 1:
+            s, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(s)
+            s, n = s[order], n[order]
+        return s, n
 
     def _bytes(self, chars: str) -> list[int]:
         return [self.pieces.byte_ids[b] for b in chars.encode("utf-8", "surrogatepass")]
 
     def _learn(self, new: list[str]) -> None:
-        short = [s for s in new if len(s) <= LONG]
-        rank, id_at = self.pieces.rank, self.pieces.id_at
-        for s in new:
-            if len(s) > LONG:
-                out: list[int] = []
-                for i, n in self._long(s):
-                    k = rank.get(s[i : i + n])
-                    out += [int(id_at[k])] if k is not None else self._bytes(s[i : i + n])
-                self.known[s] = np.array(out, "<u2").tobytes()
+        id_at = self.pieces.id_at
         at = 0
-        while at < len(short):
+        while at < len(new):
             part, total = [], 0
-            while at < len(short) and total < BLOCK:
-                part.append(short[at])
-                total += len(short[at]) + 1
+            while at < len(new) and total < BLOCK:
+                part.append(new[at])
+                total += len(new[at]) + 1
                 at += 1
             joined = "\x00".join(part) + "\x00"
             text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.int32)
@@ -222,7 +239,8 @@ class Encoder:
             inside = np.ones(len(text), bool)
             inside[np.cumsum(sizes + 1) - 1] = False
             table = self._table(text)
-            s, n, g = self._relax(table, np.flatnonzero(inside), segment[inside])
+            s, n = self._symbols(table, inside)
+            g = segment[s]
             r = table[s, n - 1]
             ids = np.where(r != NONE, id_at[np.where(r != NONE, r, 0)], -1)
             cuts = np.searchsorted(g, np.arange(len(part) + 1))
