@@ -9,7 +9,7 @@ from .. import functions as G
 from ..functions import masks
 from ..operators import intervals, pairing
 from ..schemas import EVENTS
-from ..sources import wrappers
+from ..sources import text, wrappers
 from ..sources.bridge import Bridge
 from .queries import P, query
 
@@ -106,6 +106,16 @@ def saturating_cast(b: Bridge) -> DataFrame:
     return b.base.select("n", G.saturated(F.col("n").cast("decimal(20,0)") * F.expr("CAST(1844674407370955 AS DECIMAL(18,0))")).alias("saturated"))
 
 
+@query("SELECT process_key, timestamp_ns, trace_id, stream_offset_end, payload_bytes, outcome FROM {object_end}")
+def trace_text(b: Bridge) -> DataFrame:
+    """Object ends printed as a trace reader prints them, and read from that text."""
+    end = b.object_end
+    has = F.col("stream_offset_end").isNotNull()
+    raw = end.select(P, "timestamp_ns", "trace_id", has.cast("short").alias("has_stream_offset_end"), F.coalesce("stream_offset_end", F.lit(0)).alias("stream_offset_end"), "payload_bytes", G.enum_code("object_outcome", F.col("outcome")).alias("outcome"))
+    lines = raw.select(text.written_line("moq_object_end").alias("line"))
+    return text.event_rows(text.event_lines(lines), "moq_object_end")
+
+
 # --- calls and batches ------------------------------------------------------
 
 

@@ -27,8 +27,13 @@ def _value(payload: Column, name: str) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """process_key (host and, where it is told, process), event and payload of every event line."""
-    line = spark.read.text(path).select(F.col("value").alias("line")).where(F.col("line").rlike(_LINE))
+    """The event lines of text files."""
+    return event_lines(spark.read.text(path).select(F.col("value").alias("line")))
+
+
+def event_lines(lines: DataFrame) -> DataFrame:
+    """process_key (host and, where it is told, process), event and payload of every line that is an event."""
+    line = lines.select("line").where(F.col("line").rlike(_LINE))
     part = lambda k: F.regexp_extract("line", _LINE, k)
     body = part(3)
     vpid = F.nullif(F.regexp_extract(body, r"\bvpid = ([0-9]+)", 1), F.lit(""))

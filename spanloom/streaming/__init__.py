@@ -119,7 +119,8 @@ def merged_intervals(reports: DataFrame, slots: int = 8) -> DataFrame:
 
     reports: process_key, scope_id, seq, s, e, closes; a scope's reports come in order of seq, the closing one last.
     """
-    return reports.groupBy("process_key", "scope_id").transformWithStateInPandas(_Merging(slots), outputStructType=MERGED, outputMode="append", timeMode="none")
+    whole = reports.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("s", "e")})  # a null would turn the column into floating point
+    return whole.groupBy("process_key", "scope_id").transformWithStateInPandas(_Merging(slots), outputStructType=MERGED, outputMode="append", timeMode="none")
 
 
 def _timed(edges: DataFrame, late: str) -> DataFrame:
