@@ -24,13 +24,15 @@ class Scratch:
     """Tables written to the shared checkpoint folder, so that lineage is cut and any executor may be lost.
 
     The folder is spark.checkpoint.dir as the session has it; only where that
-    is unset (tests) a folder below the warehouse is used.
+    is unset in a local run (tests) a folder below the warehouse is used. On a cluster it must be set.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that the executors share")
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.root = f"{root.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
         self._n = 0
