@@ -66,5 +66,4 @@ def written_line(event: str) -> Column:
             label = F.get(F.array(*map(F.lit, ENUMS[kind])), F.col(f.name).cast("int"))
             value = F.concat(F.lit("( "), F.coalesce(F.concat(F.lit('"'), label, F.lit('" : ')), F.lit("")), F.lit("container = "), value, F.lit(" )"))
         shown.append(F.concat(F.lit(f"{f.name} = "), value))
-    provider = "moq_trace" if event.startswith("moq_") else "quic_trace"
-    return F.concat(F.lit("[00:00:00.000000000] (+0.000000001) "), F.col("process_key"), F.lit(f" {provider}:{event}: {{ cpu_id = 0 }}, {{ "), F.concat_ws(", ", *shown), F.lit(" }"))
+    return F.concat(F.lit("[00:00:00.000000000] (+0.000000001) "), F.col("process_key"), F.lit(f" provider:{event}: {{ cpu_id = 0 }}, {{ "), F.concat_ws(", ", *shown), F.lit(" }"))

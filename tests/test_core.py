@@ -241,7 +241,7 @@ def test_trace_text(spark, tmp_path):
     assert {event: df.count() for event, df in read.items()} == golden and sum(golden.values()) == 421
     for event, df in read.items():
         assert sorted(map(str, df.collect())) == sorted(map(str, G.decode(raw[event], event).collect()))
-    odd = '[10:00:00.1] (+?.?) moq_trace:moq_object_end: { cpu_id = 1 }, { vpid = 7, procname = "a" }, { timestamp_ns = 18446744073709551615, trace_id = 3, has_stream_offset_end = 0, stream_offset_end = 0, payload_bytes = 9, outcome = ( container = 77 ) }'
+    odd = '[10:00:00.1] (+?.?) provider:moq_object_end: { cpu_id = 1 }, { vpid = 7, procname = "a" }, { timestamp_ns = 18446744073709551615, trace_id = 3, has_stream_offset_end = 0, stream_offset_end = 0, payload_bytes = 9, outcome = ( container = 77 ) }'
     (tmp_path / "o.txt").write_text(odd)
     row = text.event_rows(text.read_lines(spark, str(tmp_path / "o.txt")), "moq_object_end").first()
     assert (row.process_key, row.timestamp_ns, row.trace_id, row.stream_offset_end, row.outcome) == ("7", None, 3, None, "unknown_77")
