@@ -139,11 +139,13 @@ def test_streams_pair_and_count(spark, tmp_path):
     assert counts.columns == ["start", "phase", "n"]
 
 
-def test_entry_without_llm(spark, monkeypatch):
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "spanloom.llm"])
+def test_entry_without_llm(spark, monkeypatch, gone):
     import importlib
     import sys
 
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    monkeypatch.setitem(sys.modules, gone, None)
     sys.modules.pop("__spark_entry__", None)
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(plans.QUERIES) and set(entry.oracle_sql()) == set(plans.ORACLES)
