@@ -64,47 +64,48 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 
 def _places(words: DataFrame, windows: DataFrame, sizes: list[int], scratch: Scratch) -> DataFrame:
-    """doc_id, hw and the places (at, and n: words from there) where a window of the benchmark may stand."""
+    """doc_id, th and the places (at, and n: words from there) where a window of the benchmark may stand."""
     found = []
     if SPAN in sizes:
         prints = windows.where(F.size("win") == SPAN).select(F.explode(_minima(F.col("win"))).alias("m")).select(F.col("m").bitwiseAND(F.lit(-8)).alias("fp")).distinct()
         prints = broadcast_if_small(scratch.write(prints, "prints"), 32)
-        probes = words.select("doc_id", "hw", F.posexplode_outer(_minima(F.col("w"))).alias("i", "m"))
+        probes = words.select("doc_id", "th", F.posexplode_outer(_minima(F.col("w"))).alias("i", "m"))
         place = F.col("i") + F.pmod(F.col("m").bitwiseAND(F.lit(7)).cast("int") - F.col("i"), F.lit(8))
-        hit = probes.withColumn("fp", F.col("m").bitwiseAND(F.lit(-8))).join(prints, "fp", "left_semi").select("doc_id", "hw", place.alias("at")).distinct()
+        hit = probes.withColumn("fp", F.col("m").bitwiseAND(F.lit(-8))).join(prints, "fp", "left_semi").select("doc_id", "th", place.alias("at")).distinct()
         around = F.explode(F.sequence(F.greatest(F.col("at") - REACH, F.lit(0)), F.col("at")))
-        found.append(hit.select("doc_id", "hw", around.alias("at")).distinct().withColumn("n", F.lit(SPAN)))
+        found.append(hit.select("doc_id", "th", around.alias("at")).distinct().withColumn("n", F.lit(SPAN)))
     short = [n for n in sizes if n < SPAN]
     if short:
         of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(F.slice("w", i + 1, F.lit(n))).alias("wh"), i.alias("at"), F.lit(n).alias("n"))))
-        probes = words.select("doc_id", "hw", F.explode_outer(F.flatten(F.array_compact(F.array(*map(of, short))))).alias("x")).select("doc_id", "hw", "x.*")
+        probes = words.select("doc_id", "th", F.explode_outer(F.flatten(F.array_compact(F.array(*map(of, short))))).alias("x")).select("doc_id", "th", "x.*")
         keys = broadcast_if_small(scratch.write(windows.where(F.size("win") < SPAN).select("wh").distinct(), "short"), 32)
-        found.append(probes.join(keys, "wh", "left_semi").select("doc_id", "hw", "at", "n"))
+        found.append(probes.join(keys, "wh", "left_semi").select("doc_id", "th", "at", "n"))
     every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return every.groupBy("doc_id", "hw").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    return every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n")).alias("places"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per distinct (doc_id, words) with hits: doc_id, hw (hash of the words), spans (start, end of word runs), items."""
+    """One row per distinct (doc_id, text) with hits: doc_id, th (hash of the text), spans (start, end of word runs), items."""
     scratch = Scratch(docs.sparkSession)
-    words = docs.select("doc_id", letter_words(F.col("text")).alias("w")).withColumn("hw", F.xxhash64("w"))  # before any generator, which would copy the words into its rows to have the hash after it
+    words = docs.select("doc_id", F.xxhash64("text").alias("th"), letter_words(F.col("text")).alias("w"))  # the hash before any generator, which would copy the words into its rows to have it after
     holders = scratch.write(benchmark_windows(benchmark), "holders")
     sizes = sorted(r[0] for r in holders.select(F.size("win")).distinct().collect())  # ten values at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], docs.select("doc_id", F.lit(0).cast("long").alias("hw"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<string>").alias("items")).schema)
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id", F.lit(0).cast("long").alias("th"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.array().cast("array<string>").alias("items")).schema)
     windows = scratch.write(holders.select("wh", "win").distinct(), "windows")
     places = scratch.write(_places(words, windows, sizes, scratch), "places")
     key_bytes = 64 + F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)) + 16 * F.size("places")
-    places = broadcast_if_small(places, key_bytes).withColumnsRenamed({"doc_id": "s_id", "hw": "s_hw"})
-    own = words.join(places, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("hw") == F.col("s_hw")))
+    places = broadcast_if_small(places, key_bytes).withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(places, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")))
+    own = own.select("doc_id", "th", letter_words(F.col("text")).alias("w"), "places")  # only texts with places are cut again
     each = F.transform("places", lambda x: F.struct(x["at"].alias("s"), x["n"].alias("n"), F.slice("w", x["at"] + 1, x["n"]).alias("win")))
-    spans = own.select("doc_id", "hw", F.explode(each).alias("x")).select("doc_id", "hw", "x.*").where(F.size("win") == F.col("n")).distinct().withColumn("wh", F.xxhash64("win"))
+    spans = own.select("doc_id", "th", F.explode(each).alias("x")).select("doc_id", "th", "x.*").where(F.size("win") == F.col("n")).distinct().withColumn("wh", F.xxhash64("win"))
     found = scratch.write(spans.join(broadcast_if_small(windows, 64 + text_bytes(F.col("win"))), ["wh", "win"]), "found")
-    runs = found.groupBy("doc_id", "hw").agg(F.sort_array(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).alias("spans"))
-    named = found.select("doc_id", "hw", "wh", "win").distinct().join(holders.where("item_id IS NOT NULL"), ["wh", "win"]).select("doc_id", "hw", "item_id").distinct()
-    items = named.groupBy(F.col("doc_id").alias("i_id"), F.col("hw").alias("i_hw")).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    both = runs.join(items, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("hw") == F.col("i_hw")), "left")
-    return both.select("doc_id", "hw", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    runs = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).alias("spans"))
+    named = found.select("doc_id", "th", "wh", "win").distinct().join(holders.where("item_id IS NOT NULL"), ["wh", "win"]).select("doc_id", "th", "item_id").distinct()
+    items = named.groupBy(F.col("doc_id").alias("i_id"), F.col("th").alias("i_th")).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    both = runs.join(items, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("th") == F.col("i_th")), "left")
+    return both.select("doc_id", "th", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def covered(spans: Column) -> Column:
@@ -117,8 +118,8 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans, items of every row of docs; spans and items are null where nothing hits."""
     found = hits(docs, benchmark)
-    own = docs.select("doc_id", letter_words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.xxhash64("w").alias("hw"))
-    return own.join(found, own["doc_id"].eqNullSafe(found["doc_id"]) & (own["hw"] == found["hw"]), "left").select(own["doc_id"], "n_words", "spans", "items")
+    own = docs.select("doc_id", F.size(letter_words(F.col("text"))).cast("long").alias("n_words"), F.xxhash64("text").alias("th"))
+    return own.join(found, own["doc_id"].eqNullSafe(found["doc_id"]) & (own["th"] == found["th"]), "left").select(own["doc_id"], "n_words", "spans", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -126,8 +127,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The keys of hit rows are broadcast only if they are few (Spark's own size check on the written table).
     """
-    found = Scratch(docs.sparkSession).write(hits(docs, benchmark).select(F.col("doc_id").alias("__w_id"), F.col("hw").alias("__w_hash")), "hit")
-    own = docs.withColumn("__w_own", F.xxhash64(letter_words(F.col("text"))))
+    found = Scratch(docs.sparkSession).write(hits(docs, benchmark).select(F.col("doc_id").alias("__w_id"), F.col("th").alias("__w_hash")), "hit")
+    own = docs.withColumn("__w_own", F.xxhash64("text"))
     return own.join(found, docs["doc_id"].eqNullSafe(found["__w_id"]) & (own["__w_own"] == found["__w_hash"]), "left_anti").select(*docs.columns)
 
 
