@@ -3,12 +3,16 @@
 There is no time range between a start and its end, so pairing keeps state per
 (process, span) instead of a stream-stream join; what is still unpaired after
 the timeout leaves as open or headless. The engine never invents an outcome.
+
+A call of a processor costs far more than a row, so ids are dealt into buckets and a call
+serves a bucket's rows; its state is a map, of which only what changes is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,63 +22,97 @@ PAIRED = "process_key string, span_id bigint, start_ns bigint, end_ns bigint, ou
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Buckets of ids; a call of a processor serves all ids of one process and bucket, not one id.
+BUCKETS = 1024
+#: Ids of a call from which what its bucket holds is read in one go, not id by id.
+WHOLE = 64
+
+
+def _bucketed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the bucket of an id; null ids have the bucket -1, and 0 in their place (a null would turn the column into floating point)."""
+    bucket = F.coalesce(F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")), F.lit(-1))
+    return rows.withColumn("bucket", bucket).withColumn(column, F.coalesce(column, F.lit(0).cast("long")))
+
+
+def _held(state, ids: np.ndarray) -> dict[int, tuple]:
+    """What a map state holds of these ids; more when it is read in one go."""
+    if not state.exists():
+        return {}
+    if len(ids) >= WHOLE:
+        return {k[0]: tuple(v) for k, v in state.iterator()}
+    return {i: tuple(v) for i in ids.tolist() if (v := state.getValue((i,))) is not None}
+
+
 class _Pairing(StatefulProcessor):
-    """Holds one half of a span until the other comes, or until the timer fires."""
+    """Holds the halves of a bucket's spans until the others come, or until their timer fires."""
 
     def __init__(self, timeout_ms: int | None):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.half = handle.getValueState("half", "start_ns bigint, end_ns bigint, outcome string")
+        self.half = handle.getMapState("half", "span_id bigint", "start_ns bigint, end_ns bigint, outcome string, due bigint")
 
-    def _row(self, key, start, end, outcome) -> pd.DataFrame:
-        state = "open" if end is None else "headless" if start is None else "negative" if end < start else "closed"
-        return pd.DataFrame({"process_key": [key[0]], "span_id": [key[1]], "start_ns": pd.array([start], "Int64"), "end_ns": pd.array([end], "Int64"), "outcome": [outcome], "state": [state]})
+    def _rows(self, key, spans: list, starts: list, ends: list, outcomes: list) -> pd.DataFrame:
+        state = ["open" if e is None else "headless" if s is None else "negative" if e < s else "closed" for s, e in zip(starts, ends, strict=True)]
+        own = [None] * len(spans) if key[1] < 0 else spans
+        return pd.DataFrame({"process_key": pd.Series([key[0]] * len(spans), dtype=object), "span_id": pd.array(own, "Int64"), "start_ns": pd.array(starts, "Int64"), "end_ns": pd.array(ends, "Int64"), "outcome": pd.Series(outcomes, dtype=object), "state": state})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, end, outcome = self.half.get() if self.half.exists() else (None, None, None)
         for pdf in rows:
-            for edge, at, result in zip(pdf["edge"], pdf["timestamp_ns"], pdf["outcome"], strict=True):
-                if edge == "start":
-                    start = int(at)
-                else:
-                    end, outcome = int(at), None if pd.isna(result) else result
-        if start is not None and end is not None:
-            self.half.clear()
-            if self.timeout_ms is not None:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-            yield self._row(key, start, end, outcome)
-        else:
-            self.half.update((start, end, outcome))
-            if self.timeout_ms is not None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            spans, code = np.unique(pdf["span_id"].to_numpy(np.int64), return_inverse=True)
+            first, at = (pdf["edge"] == "start").to_numpy(bool), pdf["timestamp_ns"].to_numpy(np.int64)
+            results = pdf["outcome"].to_numpy(object)
+            held = _held(self.half, spans)
+            start, end, outcome = (np.full(len(spans), None, object) for _ in range(3))
+            due = {}
+            for i, span in enumerate(spans.tolist()) if held else ():
+                if span in held:
+                    start[i], end[i], outcome[i], due[i] = held[span]
+            # of repeated edges the last one counts
+            start[code[first]] = at[first]
+            end[code[~first]] = at[~first]
+            outcome[code[~first]] = [None if pd.isna(x) else x for x in results[~first]]
+            both = np.array([s is not None and e is not None for s, e in zip(start, end, strict=True)], bool)
+            now = None if self.timeout_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            for i in np.flatnonzero(~both).tolist():
+                self.half.updateValue((int(spans[i]),), (None if start[i] is None else int(start[i]), None if end[i] is None else int(end[i]), outcome[i], due.get(i, now)))
+            if now is not None and any(i not in due for i in np.flatnonzero(~both).tolist()):
+                self.handle.registerTimer(now)
+            for i in due:
+                if both[i]:
+                    self.half.removeKey((int(spans[i]),))
+            if both.any():
+                yield self._rows(key, spans[both].tolist(), start[both].tolist(), end[both].tolist(), outcome[both].tolist())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.half.exists():
-            start, end, outcome = self.half.get()
-            self.half.clear()
-            yield self._row(key, start, end, outcome)
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        gone = [(k[0], *v) for k, v in self.half.iterator() if v[3] <= now] if self.half.exists() else []
+        for x in gone:
+            self.half.removeKey((x[0],))
+        if gone:
+            spans, starts, ends, outcomes, _ = (list(c) for c in zip(*gone, strict=True))
+            yield self._rows(key, spans, starts, ends, outcomes)
 
     def close(self) -> None:
         pass
 
 
 def paired(edges: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """Spans of a stream of edges, each emitted once both halves came.
+    """Spans of a stream of edges, each emitted once both halves came; an edge without a time is passed over.
 
     With a timeout (queries that run on) orphans leave as open or headless when
     it is over; without one (a run over what is there) they stay in the state store, from where left_over() reads them.
     """
     mode = "none" if timeout_ms is None else "processingTime"
-    return edges.groupBy("process_key", "span_id").transformWithStateInPandas(_Pairing(timeout_ms), outputStructType=PAIRED, outputMode="append", timeMode=mode)
+    rows = _bucketed(edges.where(F.col("timestamp_ns").isNotNull()).select("process_key", "span_id", "timestamp_ns", "edge", "outcome"), "span_id")
+    return rows.groupBy("process_key", "bucket").transformWithStateInPandas(_Pairing(timeout_ms), outputStructType=PAIRED, outputMode="append", timeMode=mode)
 
 
 def left_over(spark: SparkSession, target: str) -> DataFrame:
     """The halves that a finished run of paired() still holds, as open and headless spans: a batch read of its state."""
-    half = spark.read.format("statestore").option("stateVarName", "half").load(f"{target}-state")
-    rows = half.select("key.*", "value.*")
+    half = spark.read.format("statestore").option("stateVarName", "half").option("flattenCollectionTypes", "true").load(f"{target}-state")
+    rows = half.select("key.process_key", F.when(F.col("key.bucket") >= 0, F.col("user_map_key.span_id")).alias("span_id"), "user_map_value.*")
     state = F.when(F.col("end_ns").isNull(), "open").otherwise("headless")
     return rows.select("process_key", "span_id", "start_ns", "end_ns", "outcome", state.alias("state"))
 

@@ -289,3 +289,67 @@ def test_streams_window_kinds_and_late_rows(spark, tmp_path):
     assert {(0, 1), (5, 2), (10, 2), (95, 2), (100, 2)} <= sliding and max(n for _, n in sliding) == 2
     sessions = {(r.trace_id, at(r.start), at(r.end), r.n) for r in run("x", lambda s: streaming.session_counts(s, "15 seconds", "30 seconds")).collect()}
     assert sessions == {(1, 1, 27, 2), (2, 13, 28, 1), (1, 100, 115, 1), (2, 101, 116, 1), (2, 300, 315, 1)}
+
+
+def test_streams_pair_over_many_files(spark, tmp_path, monkeypatch):
+    """Halves that meet in later batches, repeated edges, null ids and times; a bucket's ids share one call."""
+    from spanloom import streaming
+
+    calls = str(tmp_path / "calls")
+    monkeypatch.setattr(streaming, "BUCKETS", 3)
+
+    class Counting(streaming._Pairing):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(calls, "a") as f:
+                f.write("x")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(streaming, "_Pairing", Counting)
+    big = 2**60
+    batches = [
+        [("p", i, big + i, "start", None) for i in range(300)] + [("q", None, 5, "start", None), ("p", 900, None, "start", None)],
+        [("p", i, big + i + 7, "done", "ok" if i % 2 else None) for i in range(0, 300, 3)] + [("p", 400, 1, "done", "late")],
+        [("p", i, big + i - 1, "done", "x") for i in range(1, 300, 3)] + [("q", None, 9, "done", "n"), ("p", 2, big, "start", None)],
+        [("p", 2, big + 1, "done", "one"), ("p", 2, big + 3, "done", "two")],
+    ]
+    source = tmp_path / "edges"
+    schema = "process_key string, span_id long, timestamp_ns long, edge string, outcome string"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
+    held: dict = {}
+    want = []
+    for batch in batches:
+        for p, i, at, edge, result in batch:
+            if at is not None:
+                s, e, o = held.get((p, i), (None, None, None))
+                held[p, i] = (at, e, o) if edge == "start" else (s, at, result)
+        for k in [k for k, v in held.items() if v[0] is not None and v[1] is not None]:
+            s, e, o = held.pop(k)
+            want.append((*k, s, e, o, "negative" if e < s else "closed"))
+    left = [(*k, s, e, o, "open" if e is None else "headless") for k, (s, e, o) in held.items()]
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    got = streaming.run_once(spark, str(source), spark.read.parquet(str(source)).schema, streaming.paired, str(tmp_path / "out"), files=1)
+    assert order(got.collect()) == order(want)
+    assert order(streaming.left_over(spark, str(tmp_path / "out")).collect()) == order(left) != []
+    assert len(open(calls).read()) <= 5 * len(batches)
+
+
+def test_stream_pairing_timeout(spark, tmp_path):
+    from spanloom import streaming
+
+    source, out = str(tmp_path / "edges"), str(tmp_path / "out")
+    schema = "process_key string, span_id long, timestamp_ns long, edge string, outcome string"
+    spark.createDataFrame([("p", i, 10 + i, "start" if i % 2 else "done", None) for i in range(20)], schema).write.parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming.STATE_STORE)
+    stream = streaming.paired(spark.readStream.schema(schema).parquet(source), timeout_ms=200)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(processingTime="300 milliseconds").start(out)
+    rows = []
+    try:
+        for _ in range(60):
+            run.awaitTermination(1)
+            rows = spark.read.schema(streaming.PAIRED).parquet(out).collect() if (tmp_path / "out" / "_spark_metadata").exists() else []
+            if len(rows) >= 20:
+                break
+    finally:
+        run.stop()
+    assert sorted((r.span_id, r.state) for r in rows) == [(i, "open" if i % 2 else "headless") for i in range(20)]
