@@ -121,32 +121,35 @@ MERGED = "process_key string, scope_id bigint, slot int, s bigint, e bigint, mer
 
 
 class _Merging(StatefulProcessor):
-    """Holds a scope's first intervals; later ones extend the last. Its state is bounded by the slots, however long the scope is."""
+    """Holds the first intervals of a bucket's scopes; later ones extend the last. A scope's state is bounded by the slots, however long it is."""
 
     def __init__(self, slots: int):
         self.slots = slots
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "s bigint, e bigint, merged bigint")
+        self.held = handle.getMapState("held", "scope_id bigint", "s array<bigint>, e array<bigint>, merged array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [list(x) for x in self.held.get()] if self.held.exists() else []
-        ended = False
-        new = pd.concat(list(rows)).sort_values("seq")
-        for s, e, closes in zip(new["s"], new["e"], new["closes"], strict=True):
-            if closes:
-                ended = True
-            elif len(held) < self.slots:
-                held.append([int(s), int(e), 1])
-            else:
-                last = held[-1]
-                held[-1] = [min(last[0], int(s)), max(last[1], int(e)), last[2] + 1]
-        if ended:
-            self.held.clear()
-            if held:
-                yield pd.DataFrame([(key[0], key[1], i + 1, *x) for i, x in enumerate(held)], columns=["process_key", "scope_id", "slot", "s", "e", "merged"])
-        else:
-            self.held.put([tuple(x) for x in held])
+        new = pd.concat(list(rows)).sort_values(["scope_id", "seq"], kind="stable")
+        scopes, closes = new["scope_id"].to_numpy(np.int64), new["closes"].to_numpy(bool)
+        ids = np.unique(scopes)
+        ended = set(np.unique(scopes[closes]).tolist())
+        wanted = set(ids.tolist())
+        held = {i: v for i, v in _held(self.held, ids).items() if i in wanted}
+        old = [(i, *x) for i, v in held.items() for x in zip(*v, strict=True)]
+        columns = {"scope_id": scopes[~closes], "s": new["s"].to_numpy(np.int64)[~closes], "e": new["e"].to_numpy(np.int64)[~closes], "merged": np.ones((~closes).sum(), np.int64)}
+        # what is held goes first
+        every = pd.concat([pd.DataFrame(np.array(old, np.int64).reshape(-1, 4), columns=list(columns)), pd.DataFrame(columns)], ignore_index=True)
+        every["slot"] = np.minimum(every.groupby("scope_id").cumcount().to_numpy(np.int64) + 1, self.slots)
+        slots = every.groupby(["scope_id", "slot"], as_index=False).agg(s=("s", "min"), e=("e", "max"), merged=("merged", "sum"))
+        done = slots["scope_id"].isin(ended)
+        for i in ended & held.keys():
+            self.held.removeKey((i,))
+        for i, own in slots[~done].groupby("scope_id"):
+            self.held.updateValue((int(i),), (own["s"].tolist(), own["e"].tolist(), own["merged"].tolist()))
+        if done.any():
+            out = slots[done]
+            yield pd.DataFrame({"process_key": pd.Series([key[0]] * len(out), dtype=object), "scope_id": pd.array([None] * len(out) if key[1] < 0 else out["scope_id"].tolist(), "Int64"), "slot": out["slot"].to_numpy(np.int32), "s": out["s"].to_numpy(), "e": out["e"].to_numpy(), "merged": out["merged"].to_numpy()})
 
     def close(self) -> None:
         pass
@@ -157,8 +160,8 @@ def merged_intervals(reports: DataFrame, slots: int = 8) -> DataFrame:
 
     reports: process_key, scope_id, seq, s, e, closes; a scope's reports come in order of seq, the closing one last.
     """
-    whole = reports.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("s", "e")})  # a null would turn the column into floating point
-    return whole.groupBy("process_key", "scope_id").transformWithStateInPandas(_Merging(slots), outputStructType=MERGED, outputMode="append", timeMode="none")
+    whole = reports.select("process_key", "scope_id", "seq", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("s", "e")), "closes")  # a null would turn the column into floating point
+    return _bucketed(whole, "scope_id").groupBy("process_key", "bucket").transformWithStateInPandas(_Merging(slots), outputStructType=MERGED, outputMode="append", timeMode="none")
 
 
 def _timed(edges: DataFrame, late: str) -> DataFrame:

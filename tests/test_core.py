@@ -353,3 +353,40 @@ def test_stream_pairing_timeout(spark, tmp_path):
     finally:
         run.stop()
     assert sorted((r.span_id, r.state) for r in rows) == [(i, "open" if i % 2 else "headless") for i in range(20)]
+
+
+def test_streams_merge_many_scopes_in_few_calls(spark, tmp_path, monkeypatch):
+    """Scopes that go on over several batches; a bucket's scopes share one call."""
+    from spanloom import streaming
+
+    calls = str(tmp_path / "calls")
+    monkeypatch.setattr(streaming, "BUCKETS", 2)
+
+    class Counting(streaming._Merging):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(calls, "a") as f:
+                f.write("x")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(streaming, "_Merging", Counting)
+    rng = random.Random(5)
+    big = 2**60
+    batches: list[list] = [[], [], [], []]
+    for scope in range(200):
+        n = rng.choice([0, 1, 3, 5, 12])
+        cuts = sorted(rng.choice([0, 0, 1, 2]) for _ in range(n))
+        for i, at in enumerate(cuts):
+            batches[at].append(("p", scope, i, big + 10 * i - rng.randrange(30), big + 10 * i + rng.randrange(30), False))
+        if scope % 5 != 4:
+            batches[cuts[-1] if cuts and scope % 2 else 3].append(("p", scope, n, None, None, True))
+    schema = "process_key string, scope_id long, seq int, s long, e long, closes boolean"
+    source = tmp_path / "reports"
+    for batch in batches:
+        rng.shuffle(batch)
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
+    got = streaming.run_once(spark, str(source), spark.read.parquet(str(source)).schema, lambda s: streaming.merged_intervals(s, 4), str(tmp_path / "out"), files=1)
+    closed = [r for batch in batches for r in batch if r[1] % 5 != 4 and not r[5]]
+    want = intervals.saturating_merge(spark.createDataFrame(closed, schema), ["process_key", "scope_id"], 4)
+    shown = lambda df: sorted((r.scope_id, r.slot, r.s, r.e, r.merged) for r in df.collect())
+    assert shown(got) == shown(want)
+    assert len(open(calls).read()) <= 2 * len(batches)
