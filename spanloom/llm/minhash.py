@@ -15,16 +15,16 @@ members with a possible link across components; these alone are sent, with
 their full sets, to blocks of at most twice BLOCK members, where possible links
 are confirmed, likeliest first, until components stop merging. A pair that meets
 in several bands is compared in the first; only links that join components are returned.
-So no cap loses a link between different texts; only chance does, as stated here, and a group of thousands of
-near copies yields rows in proportion to its members.
+So no cap loses a link between different texts; only the chance above does, whatever a bucket's size, and a group of
+thousands of near copies yields rows in proportion to its members.
 
 Hot buckets: what a bucket holds is counted map-side and joined back, never sorted
-in one window. A mixed bucket of more than TASK classes (texts that share much but
-are not linked) is cut by every later band, up to CUTS times: a pair is then looked
-at where its first two (three, four) common bands meet. A pair of similarity 0.8
-has fewer than two common bands with probability 1.1e-6, fewer than four with 8e-5.
-What is larger still is compared cell by cell, TASK classes each, so no task's
-memory grows with a bucket.
+in one window. Mixed buckets of more than TASK classes (texts that share much but
+are not linked) lose no pair: two sets of the wanted similarity have a shingle in
+common among the first n - ceil(n * percent / 100) + 1 of each, in any one order of
+all shingles. With frequent shingles last, these are rare ones, and the classes of such buckets
+meet by them instead, if that is less work. What is still larger than TASK is
+compared cell by cell, TASK classes each, so no task's memory grows with a bucket.
 
 Components come from min-label propagation with pointer jumping over the
 links; every round is written to the shared checkpoint folder.
@@ -52,9 +52,10 @@ PERMS = BANDS * ROWS
 MARGIN = 6
 #: Members of a block.
 BLOCK = 1000
-#: Classes of a bucket that one task compares; larger ones are cut by further bands, at most CUTS times.
+#: Classes of a bucket or cell that one task compares.
 TASK = 10_000
-CUTS = 3
+#: Sets of large buckets that have a shingle, from which on it goes last.
+OFTEN = 100
 _NIBBLES = 0x1111111111111111
 
 
@@ -155,8 +156,8 @@ def _near(sig: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return equal
 
 
-def _possible(at: int, level: int, comp: list, sig: np.ndarray, bands: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i, j, equal places) across components that may be links and share exactly level bands before the at-th."""
+def _possible(at: int, comp: list, sig: np.ndarray, bands: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, equal places) across components that may be links and share no band before the at-th."""
     code = np.unique(np.array(comp, object), return_inverse=True)[1]
     outside = np.flatnonzero(code != np.bincount(code).argmax())  # one end of any pair is here
     inside = np.ones(len(code), bool)
@@ -165,7 +166,7 @@ def _possible(at: int, level: int, comp: list, sig: np.ndarray, bands: np.ndarra
         rows = outside[k : k + 64]
         equal = _near(sig, rows)
         i, j = np.nonzero((equal >= least) & (code[rows][:, None] != code[None, :]) & (inside[None, :] | (rows[:, None] < np.arange(len(code))[None, :])))
-        mine = (bands[rows[i], :at] == bands[j, :at]).sum(1) == level
+        mine = ~(bands[rows[i], :at] == bands[j, :at]).any(1)
         yield rows[i[mine]], j[mine], equal[i[mine], j[mine]]
 
 
@@ -192,18 +193,18 @@ def _needed(least: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for rows in _groups(batches, 7):
-            band, at, level, cls, comp = *rows[0][:3], [r[3] for r in rows], [r[4] for r in rows]
-            sig, bands = _longs([r[5] for r in rows]).view(np.uint64), _longs([r[6] for r in rows])
+        for rows in _groups(batches, 6):
+            band, at, cls, comp = *rows[0][:2], [r[2] for r in rows], [r[3] for r in rows]
+            sig, bands = _longs([r[4] for r in rows]).view(np.uint64), _longs([r[5] for r in rows])
             found: dict[tuple[int, int], set[int]] = {}
-            for i, j, _ in _possible(at, level, comp, sig, bands, least):
+            for i, j, _ in _possible(at, comp, sig, bands, least):
                 p, q = np.minimum(i, j) // BLOCK, np.maximum(i, j) // BLOCK
                 for block in set(zip(p.tolist(), q.tolist(), strict=True)):
                     here = (p == block[0]) & (q == block[1])
                     found.setdefault(block, set()).update(i[here].tolist(), j[here].tolist())
-            out = [(f"{band}:{p}:{q}", at, level, cls[m], comp[m]) for (p, q), members in found.items() for m in sorted(members)]
+            out = [(f"{band}:{p}:{q}", at, cls[m], comp[m]) for (p, q), members in found.items() for m in sorted(members)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary()), pa.array([r[4] for r in out], pa.binary())], ["block", "at", "level", "cls", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], ["block", "at", "cls", "comp"])
 
     return run
 
@@ -214,10 +215,10 @@ def _compared(least: int, percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for rows in _groups(batches, 8):
-            at, level, cls, comp = *rows[0][1:3], [r[3] for r in rows], [r[4] for r in rows]
-            sig, bands = _longs([r[5] for r in rows]).view(np.uint64), _longs([r[6] for r in rows])
-            sets = [np.array(r[7], np.int64) for r in rows]
+        for rows in _groups(batches, 7):
+            at, cls, comp = rows[0][1], [r[2] for r in rows], [r[3] for r in rows]
+            sig, bands = _longs([r[4] for r in rows]).view(np.uint64), _longs([r[5] for r in rows])
+            sets = [np.array(r[6], np.int64) for r in rows]
             top = {c: c for c in comp}
 
             def find(c: bytes, top: dict = top) -> bytes:
@@ -226,7 +227,7 @@ def _compared(least: int, percent: int):
                 return c
 
             links = []
-            parts = list(_possible(at, level, comp, sig, bands, least))
+            parts = list(_possible(at, comp, sig, bands, least))
             i, j, equal = (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in range(3))
             for k in np.argsort(-equal, kind="stable").tolist():
                 a, b = int(i[k]), int(j[k])
@@ -266,22 +267,35 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def _mixed(rows: DataFrame) -> DataFrame:
     """rows (band, comp, ...) of buckets that hold several components, with m, the rows of their bucket."""
     many = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("band", "m")
-    return rows.join(many, "band").select("band", "at", "level", "cls", "comp", "m")
-
-
-def _compared_once(named: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
-    """What one task compares: part (of a bucket), at, level, cls, comp. Of named: band, at, cls, comp."""
-    buckets = scratch.write(_mixed(named.withColumn("level", F.lit(0))), "mixed")
-    for _ in range(CUTS):
-        hot = buckets.where(F.col("m") > TASK)
-        if hot.isEmpty():
-            break
-        later = hot.join(signatures.select("cls", "bands"), "cls").select("cls", "comp", (F.col("level") + 1).alias("level"), F.col("band").alias("outer"), F.col("at").alias("was"), F.posexplode("bands").alias("at", "inner"))
-        finer = later.where("at > was").withColumn("band", F.xxhash64("outer", "inner"))
-        buckets = scratch.write(buckets.where(F.col("m") <= TASK).unionByName(_mixed(finer)), "mixed")
+    return rows.join(many, "band").select("band", "at", "cls", "comp", "m")
+
+
+def _rare(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """cls and rare: of each set (cls, s) the first shingles, frequent ones last, so many that sets of that similarity have one in common."""
+    each = sets.select("cls", F.size("s").alias("n"), F.explode("s").alias("g"))
+    often = scratch.write(each.groupBy("g").count().where(F.col("count") >= OFTEN), "often")
+    own = each.join(broadcast_if_small(often, 16), "g", "left").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "g"))).alias("order"))
+    wanted = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    return own.select("cls", F.explode(F.slice("order.g", F.lit(1), wanted.cast("int"))).alias("rare"))
+
+
+def _compared_once(named: DataFrame, full_sets, percent: int, scratch: Scratch) -> DataFrame:
+    """What one task compares: part (of a bucket), at, cls, comp. Of named: band, at, cls, comp; full_sets gives the sets of classes."""
+    buckets = scratch.write(_mixed(named), "mixed")
+    hot = buckets.where(F.col("m") > TASK)
+    if not hot.isEmpty():
+        found = hot.select("cls", "comp").distinct()
+        sets = full_sets(found.select("cls"))
+        # no band goes before the first: pairs meet by shingles, whichever bands they share
+        met = found.join(_rare(sets, percent, scratch), "cls").select(F.xxhash64(F.lit("rare"), "rare").alias("band"), F.lit(0).alias("at"), "cls", "comp")
+        finer = scratch.write(_mixed(met), "finer")
+        scratch.drop(sets)
+        pairs = lambda b: b.agg(F.sum("m")).first()[0] or 0
+        if pairs(finer) < pairs(hot):
+            buckets = scratch.write(buckets.where(F.col("m") <= TASK).unionByName(finer), "mixed")
     cells = F.call_function("div", F.col("m") + TASK - 1, F.lit(TASK))
     dealt = buckets.withColumn("own", F.pmod(F.xxhash64("cls"), cells)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("other"))
-    return dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "at", "level", "cls", "comp")
+    return dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "at", "cls", "comp")
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -318,10 +332,10 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     labels = components(links, scratch).withColumnRenamed("id", "cls")
 
     named = members.select("band", "at", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rows = _compared_once(named, signatures, scratch).join(signatures, "cls").select("part", "at", "level", "cls", "comp", "sig", "bands").repartition("part").sortWithinPartitions("part", "cls")
-    needed = scratch.write(rows.mapInArrow(_needed(least), "block string, at int, level int, cls binary, comp binary"), "needed")
+    rows = _compared_once(named, full_sets, percent, scratch).join(signatures, "cls").select("part", "at", "cls", "comp", "sig", "bands").repartition("part").sortWithinPartitions("part", "cls")
+    needed = scratch.write(rows.mapInArrow(_needed(least), "block string, at int, cls binary, comp binary"), "needed")
     sets = full_sets(needed.select("cls"))
-    rows = needed.join(signatures, "cls").join(sets, "cls").select("block", "at", "level", "cls", "comp", "sig", "bands", "s").repartition("block").sortWithinPartitions("block", "cls")
+    rows = needed.join(signatures, "cls").join(sets, "cls").select("block", "at", "cls", "comp", "sig", "bands", "s").repartition("block").sortWithinPartitions("block", "cls")
     more = scratch.write(rows.mapInArrow(_compared(least, percent), "a binary, b binary"), "more")
     scratch.drop(sets)
     return signed.select("doc_id", "th", "n", "cls"), components(links.union(more), scratch)

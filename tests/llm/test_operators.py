@@ -163,6 +163,67 @@ def test_minhash_near_misses_keep_every_link(spark, monkeypatch, task):
     assert sorted(tuple(r) for r in minhash.linked(df, 4).select("doc_id", "component_id").collect()) == list(enumerate(top))
 
 
+@pytest.mark.parametrize("often", [100, 3])
+def test_minhash_large_buckets_lose_no_pair(spark, monkeypatch, often):
+    """Pairs that share few bands, all of them in buckets larger than a task takes."""
+    monkeypatch.setattr(minhash, "TASK", 4)
+    monkeypatch.setattr(minhash, "OFTEN", often, raising=False)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    found = []
+    for group in range(12):
+        base = rng.sample(words, 60)
+        for _ in range(20):
+            own = list(base)
+            for at in rng.sample(range(60), rng.randrange(12, 15)):
+                own[at] = rng.choice(words)
+            found.append((len(found), " ".join(own)))
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    sets = {r.doc_id: np.unique(np.array(r.h, np.int64)) for r in df.select("doc_id", minhash.shingles(df["text"], 1).alias("h")).collect()}
+    low_ = {i: minhash.minima(v) for i, v in sets.items()}
+    bands = {i: minhash.band_keys(v) for i, v in low_.items()}
+    got = {r.doc_id: r.component_id for r in minhash.linked(df, 1, 50).select("doc_id", "component_id").collect()}
+    top = list(range(len(found)))
+    few = 0
+    for a in range(len(found)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 50 * (len(sets[a]) + len(sets[b]) - both):
+                top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+                if (bands[a] == bands[b]).any() and ((low_[a] ^ low_[b]) & np.uint64(15) == 0).sum() >= minhash.least_equal(50):
+                    few += int((bands[a] == bands[b]).sum()) == 1
+                    assert got[a] == got[b], (a, b)
+    assert few > 20 and len(set(top)) > 12
+    assert all(top[a] == top[got[a]] and got[a] <= a for a in got)
+
+
+def test_minhash_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
+    """Texts that share much, but not enough, and copies of each with few edits."""
+    monkeypatch.setattr(minhash, "TASK", 10)
+    monkeypatch.setattr(minhash, "OFTEN", 10)
+    tags = []
+    write = minhash.Scratch.write
+    monkeypatch.setattr(minhash.Scratch, "write", lambda self, df, tag: tags.append(tag) or write(self, df, tag))
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(48)]
+    found = []
+    for group in range(60):
+        own = [*common, *(f"g{group}x{i}" for i in range(12))]
+        found += [(len(found), " ".join(own))]
+        for at in rng.sample(range(60), 6):
+            own[at] = f"e{len(found)}x{at}"
+        found += [(len(found), " ".join(own))]
+    sets = [set(t.split(" ")) for _, t in found]
+    top = list(range(len(found)))
+    for a in range(len(found)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.linked(df, 1, 80).select("doc_id", "component_id").collect()) == list(enumerate(top))
+    assert len(set(top)) == 60 and tags.count("finer") == 1 and tags.count("mixed") == 2
+
+
 @pytest.mark.parametrize("most", [1 << 26, 0])
 def test_winnowing(spark, docs, rows, empty, monkeypatch, most):
     """Also with nothing broadcast, and items in small pieces."""
