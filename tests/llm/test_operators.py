@@ -163,15 +163,12 @@ def test_minhash_near_misses_keep_every_link(spark, monkeypatch, task):
     assert sorted(tuple(r) for r in minhash.linked(df, 4).select("doc_id", "component_id").collect()) == list(enumerate(top))
 
 
-@pytest.mark.parametrize("often", [100, 3])
-def test_minhash_large_buckets_lose_no_pair(spark, monkeypatch, often):
-    """Pairs that share few bands, all of them in buckets larger than a task takes."""
-    monkeypatch.setattr(minhash, "TASK", 4)
-    monkeypatch.setattr(minhash, "OFTEN", often, raising=False)
+def few_bands(spark):
+    """Texts of which linked ones (50 of 100) share few bands; the pairs that share one, all pairs that are links, and how many of the first share just one."""
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]
     found = []
-    for group in range(12):
+    for _ in range(12):
         base = rng.sample(words, 60)
         for _ in range(20):
             own = list(base)
@@ -180,23 +177,49 @@ def test_minhash_large_buckets_lose_no_pair(spark, monkeypatch, often):
             found.append((len(found), " ".join(own)))
     df = spark.createDataFrame(found, "doc_id long, text string")
     sets = {r.doc_id: np.unique(np.array(r.h, np.int64)) for r in df.select("doc_id", minhash.shingles(df["text"], 1).alias("h")).collect()}
-    low_ = {i: minhash.minima(v) for i, v in sets.items()}
-    bands = {i: minhash.band_keys(v) for i, v in low_.items()}
-    got = {r.doc_id: r.component_id for r in minhash.linked(df, 1, 50).select("doc_id", "component_id").collect()}
-    top = list(range(len(found)))
-    few = 0
+    least = {i: minhash.minima(v) for i, v in sets.items()}
+    bands = {i: minhash.band_keys(v) for i, v in least.items()}
+    met, links, few = [], [], 0
     for a in range(len(found)):
         for b in range(a):
             both = len(np.intersect1d(sets[a], sets[b]))
             if 100 * both >= 50 * (len(sets[a]) + len(sets[b]) - both):
-                top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
-                if (bands[a] == bands[b]).any() and ((low_[a] ^ low_[b]) & np.uint64(15) == 0).sum() >= minhash.least_equal(50):
+                links.append((a, b))
+                if (bands[a] == bands[b]).any() and ((least[a] ^ least[b]) & np.uint64(15) == 0).sum() >= minhash.least_equal(50):
+                    met.append((a, b))
                     few += int((bands[a] == bands[b]).sum()) == 1
-                    assert got[a] == got[b], (a, b)
+    return df, met, links, few
+
+
+def tops(n, pairs):
+    top = list(range(n))
+    for a, b in pairs:
+        top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    return top
+
+
+@pytest.mark.parametrize("often", [100, 3])
+def test_minhash_large_buckets_lose_no_pair(spark, monkeypatch, often):
+    """Pairs that share few bands, all of them in buckets larger than a task takes."""
+    monkeypatch.setattr(minhash, "TASK", 4)
+    monkeypatch.setattr(minhash, "OFTEN", often, raising=False)
+    df, met, links, few = few_bands(spark)
+    got = {r.doc_id: r.component_id for r in minhash.linked(df, 1, 50).select("doc_id", "component_id").collect()}
+    top = tops(len(got), links)
     assert few > 20 and len(set(top)) > 12
+    assert all(got[a] == got[b] for a, b in met)
     assert all(top[a] == top[got[a]] and got[a] <= a for a in got)
 
 
+def test_minhash_keeps_one_of_large_buckets(spark, monkeypatch):
+    """What the pipeline's stage calls: of texts that are linked through large buckets one stays."""
+    monkeypatch.setattr(minhash, "TASK", 4)
+    df, met, links, _ = few_bands(spark)
+    kept = {r.doc_id for r in minhash.keep_one(df, 1, 50).collect()}
+    met, links = tops(df.count(), met), tops(df.count(), links)
+    assert set(links) <= kept <= set(met) and len(set(met)) < len(met)
+
+
 def test_minhash_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
     """Texts that share much, but not enough, and copies of each with few edits."""
     monkeypatch.setattr(minhash, "TASK", 10)
