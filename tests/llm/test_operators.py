@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from brute import LETTER, SPACE, line_dedup, low, quality_counts, quality_verdicts
+import corpus_pipeline
+from brute import LETTER, SPACE, components, line_dedup, low, quality_counts, quality_verdicts
 from spanloom.llm import common, licenses, line_templates, minhash, pieces, quality, repeats, secret_scan, token_store, url_rules, winnowing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, n_words string, leaf string, band string, key string, th string, n string, s string"
@@ -220,6 +221,36 @@ def test_minhash_keeps_one_of_large_buckets(spark, monkeypatch):
     assert set(links) <= kept <= set(met) and len(set(met)) < len(met)
 
 
+@pytest.mark.parametrize("cells", [False, True])
+def test_near_dedup_of_large_buckets(spark, monkeypatch, cells):
+    """The pipeline's stage against full sets of all pairs, where buckets exceed a task: by rare shingles, and in cells where these would be more work."""
+    monkeypatch.setattr(minhash, "TASK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "OFTEN", 3)
+    if cells:
+        monkeypatch.setattr(minhash, "_rare", lambda sets, percent, scratch: sets.select("cls", F.explode("s").alias("rare")))
+    tags = []
+    write = minhash.Scratch.write
+    monkeypatch.setattr(minhash.Scratch, "write", lambda self, df, tag: tags.append(tag) or write(self, df, tag))
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(2000)]
+    found = []
+    for _ in range(4):
+        base = rng.sample(words, 110)
+        for _ in range(40):
+            own = list(base)
+            for at in rng.sample(range(110), rng.randrange(0, 7)):
+                own[at] = rng.choice(words)
+            found.append(" ".join(own[rng.randrange(0, 3) :]))
+    found += [*rng.sample(found, 30), "", None, "a b", "a b"]
+    rng.shuffle(found)
+    first, sets = components(found)
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert kept == [i for i in range(len(found)) if first[i] == i or not sets[i]]
+    assert 50 < len(kept) < 120 and tags.count("finer") == 1 and tags.count("mixed") == (1 if cells else 2)
+
+
 def test_minhash_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
     """Texts that share much, but not enough, and copies of each with few edits."""
     monkeypatch.setattr(minhash, "TASK", 10)
